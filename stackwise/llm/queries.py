@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, sharding, url_filter
+from . import fingerprint, mixing, neardup, packing, pii, sharding, topk, url_filter
 from .common import materialise
 
 
@@ -22,6 +22,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -30,6 +34,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_pairs(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "source", "n_chars", "slot", "shard")
 
@@ -40,19 +48,35 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_pages(pages, outcomes).select("page_id", "host", "path", "rule", "verdict", "labelled")
 
 
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk": op1_topk,
     "op2_packing": op2_packing,
     "op3_pii": op3_pii,
+    "op6_fingerprint": op6_fingerprint,
     "op7_sharding": op7_sharding,
     "op8_url_filter": op8_url_filter,
+    "op9_neardup": op9_neardup,
     "op10_mixing": op10_mixing,
 }
 
 
+_TOPK_SQL = f"""
+    WITH taken AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({topk.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+               FROM taken q JOIN taken c ON q.r <> c.r AND len(q.v) = len(c.v) WHERE q.vec_id % {topk.QUERY_MODULUS} = 0),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM scored)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= {topk.K}"""
+
+
 def _sharding_sql() -> str:
     """The table's entries are parameters, so the statement lists them."""
     owners = ",".join(map(str, sharding.lookup_table([f"shard-{i:05d}" for i in range(sharding.SHARDS)])))
@@ -94,4 +118,4 @@ def _url_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_sharding": _sharding_sql(), "op8_url_filter": _url_sql()}
+    return {"op1_topk": _TOPK_SQL, "op7_sharding": _sharding_sql(), "op8_url_filter": _url_sql()}
