@@ -120,27 +120,34 @@ def split_at_space(data: bytes, space: bytes = b"\t\n\v\f\r ") -> Iterator[bytes
     yield data[at:]
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, and where each text begins among them (one more offset than texts)."""
-    found, counts = [], np.zeros(len(texts) + 1, dtype=np.int64)
+def _endings(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The last two bytes of each word as one number (a word of one byte counts a zero before it)."""
+    low = _LOWER[np.frombuffer(data, dtype=np.uint8)].astype(np.int64)
+    return low[ends - 1] + 256 * np.where(ends - starts > 1, low[np.maximum(ends - 2, 0)], 0)
+
+
+def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, where each text begins among them (one more offset than texts), and the words' endings."""
+    found, tails, counts = [], [], np.zeros(len(texts) + 1, dtype=np.int64)
     group: list[bytes] = []
     first, size = 0, 0
 
-    def flush(last: int) -> None:
-        if not group:
-            return
-        hashes, starts, _ = hash_words(b"\n".join(group))
-        begins = np.cumsum([0] + [len(b) + 1 for b in group])
-        counts[first + 1 : last + 1] = np.diff(np.searchsorted(starts, begins))
+    def add(data: bytes) -> tuple[np.ndarray, int]:
+        hashes, starts, ends = hash_words(data)
         found.append(hashes)
+        tails.append(_endings(data, starts, ends) if len(starts) else np.zeros(0, dtype=np.int64))
+        return starts, len(starts)
+
+    def flush(last: int) -> None:
+        if group:
+            starts, _ = add(b"\n".join(group))
+            counts[first + 1 : last + 1] = np.diff(np.searchsorted(starts, np.cumsum([0] + [len(b) + 1 for b in group])))
 
     for i, text in enumerate(texts):
         data = (text or "").encode("utf-8", "surrogatepass")
         if len(data) > CHUNK_BYTES:
             flush(i)
-            parts = [hash_words(p)[0] for p in split_at_space(data)]
-            found.extend(parts)
-            counts[i + 1] = sum(map(len, parts))
+            counts[i + 1] = sum(add(p)[1] for p in split_at_space(data))
             group, first, size = [], i + 1, 0
             continue
         if size + len(data) > CHUNK_BYTES:
@@ -149,7 +156,14 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         group.append(data)
         size += len(data) + 1
     flush(len(texts))
-    return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64), np.cumsum(counts)
+    if not found:
+        found, tails = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+    return np.concatenate(found), np.cumsum(counts), np.concatenate(tails)
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The first two of words_of."""
+    return words_of(texts)[:2]
 
 
 def shingle_hashes(texts: list[str | None], k: int = 5) -> tuple[np.ndarray, np.ndarray]:
