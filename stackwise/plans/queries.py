@@ -472,7 +472,7 @@ def failure_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- jobs
 
 
-@query(f"SELECT id, kind, seq, "at", status, processed FROM ({JOB_LOG_SQL}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY "at" DESC, seq DESC) = 1")
+@query(f"""SELECT id, kind, seq, "at", status, processed FROM ({JOB_LOG_SQL}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY "at" DESC, seq DESC) = 1""")
 def job_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.latest_state(views.job_log(spark, sf_dir), order=("at", "seq")).select("id", "kind", "seq", "at", "status", "processed")
 
