@@ -35,11 +35,14 @@ _LONG = (-(1 << 63), (1 << 63) - 1)
 
 
 def scaled(vectors: DataFrame, key: str, vector: str, scale: int = SCALE) -> DataFrame:
-    """key and ``v``: floor(scale * x) of each component. Vectors null or with a null or non-finite component are left out."""
+    """id, ``v``: floor(scale * x) of each component, and a number of the row. Vectors null or with a null or non-finite component are left out.
+
+    The numbers differ from run to run: write the result down before using them.
+    """
     x = F.col("v")
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     got = vectors.select(vectors[key].cast("long").alias("id"), vectors[vector].cast("array<double>").alias("v")).where(x.isNotNull() & ~F.coalesce(bad, F.lit(False)))
-    return got.select("id", F.transform(x, lambda e: F.floor(e * F.lit(float(scale))).cast("double")).alias("v"))
+    return got.select("id", F.transform(x, lambda e: F.floor(e * F.lit(float(scale))).cast("double")).alias("v"), F.monotonically_increasing_id().alias("row"))
 
 
 def ranges(vectors: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -58,33 +61,34 @@ def _edges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo, np.ceil((hi - lo + 1) / CELLS)
 
 
-FILE = "d int, n int, ids binary, cells binary, exact binary"
+FILE = "d int, n int, ids binary, numbers binary, cells binary, exact binary"
 
 
 def write_file(vectors: DataFrame, bounds: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """The approximation file: a row per block of vectors with as many components; written once to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
+        held: dict[int, tuple[list, list, list]] = {}
 
         def block(d: int) -> pa.RecordBatch:
-            ids, rows = held.pop(d)
+            ids, rows, numbers = held.pop(d)
             exact = np.array(rows, dtype=np.float64).reshape(len(ids), d)
             lo, step = _edges(*bounds[d]) if d else (np.zeros(0), np.ones(0))
             cells = ((exact - lo) // step).astype(np.uint8)
-            return pa.RecordBatch.from_pydict({"d": pa.array([d], pa.int32()), "n": pa.array([len(ids)], pa.int32()), "ids": [np.array(ids, dtype="<i8").tobytes()], "cells": [cells.tobytes()], "exact": [exact.tobytes()]})
+            return pa.RecordBatch.from_pydict({"d": pa.array([d], pa.int32()), "n": pa.array([len(ids)], pa.int32()), "ids": [np.array(ids, dtype="<i8").tobytes()], "numbers": [np.array(numbers, dtype="<i8").tobytes()], "cells": [cells.tobytes()], "exact": [exact.tobytes()]})
 
         for batch in batches:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, rows = held.setdefault(len(v), ([], []))
+            for i, v, number in zip(*(batch.column(c).to_pylist() for c in ("id", "v", "row")), strict=True):
+                ids, rows, numbers = held.setdefault(len(v), ([], [], []))
                 ids.append(i)
                 rows.append(v)
+                numbers.append(number)
                 if len(ids) == BLOCK:
                     yield block(len(v))
         for d in list(held):
             yield block(d)
 
-    return materialise(vectors.where(F.col("id").isNotNull()).mapInArrow(run, FILE), "va-file")
+    return materialise(vectors.where(F.col("id").isNotNull()).select("id", "v", "row").mapInArrow(run, FILE), "va-file")
 
 
 def _limits(d: int, bounds: dict, cells: bytes, n: int, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,10 +139,11 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k
 
 def _round(spark, file: DataFrame, bounds: dict, queries: DataFrame, k: int) -> DataFrame:
     """Candidates for a bounded number of queries: k a block at most, and only blocks that may hold one of the k best."""
-    by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    taken = sorted(((len(r["v"]), r["id"], r["v"]) for r in queries.select("id", "v").toLocalIterator()), key=lambda x: x[:2])
+    by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    taken = sorted((len(r["v"]), r["id"], r["row"], r["v"]) for r in queries.select("id", "row", "v").toLocalIterator())
     for d in {x[0] for x in taken}:
-        by_size[d] = np.array([x[1] for x in taken if x[0] == d]), np.array([x[2] for x in taken if x[0] == d]).reshape(-1, d)
+        _, ids, numbers, vectors = zip(*(x for x in taken if x[0] == d), strict=True)
+        by_size[d] = np.array(ids), np.array(vectors, dtype=np.float64).reshape(len(ids), d), np.array(numbers)
     sent = spark.sparkContext.broadcast(by_size)
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,43 +165,40 @@ def _round(spark, file: DataFrame, bounds: dict, queries: DataFrame, k: int) ->
                 at = low.min(axis=1)
                 yield pa.RecordBatch.from_pydict({"d": pa.array([d] * len(at), pa.int32()), "i": pa.array(range(len(at)), pa.int32()), "reached": pa.array(at)})
 
-    sure = {d: np.full(len(ids), -np.inf) for d, (ids, _) in by_size.items()}
+    sure = {d: np.full(len(ids), -np.inf) for d, (ids, *_) in by_size.items()}
     for r in file.select("d", "n", "cells").mapInArrow(reach, "d int, i int, reached double").groupBy("d", "i").agg(F.max("reached").alias("reached")).collect():
         sure[r["d"]][r["i"]] = r["reached"]
     certain = spark.sparkContext.broadcast(sure)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for d, n, ids, cells, data in zip(*(batch.column(c).to_pylist() for c in ("d", "n", "ids", "cells", "exact")), strict=True):
+            for d, n, ids, numbers, cells, data in zip(*(batch.column(c).to_pylist() for c in ("d", "n", "ids", "numbers", "cells", "exact")), strict=True):
                 if d not in sent.value:
                     continue
-                names, vectors = sent.value[d]
-                ids, rows = np.frombuffer(ids, dtype="<i8"), np.frombuffer(data).reshape(n, d)
+                names, vectors, own = sent.value[d]
+                ids, numbers, rows = np.frombuffer(ids, dtype="<i8"), np.frombuffer(numbers, dtype="<i8"), np.frombuffer(data).reshape(n, d)
                 out: list[tuple] = []
                 for q in range(len(names)):
                     if q % TOGETHER == 0:
                         _, highs = _limits(d, bounds, cells, n, vectors[q : q + TOGETHER])
                     high = highs[q % TOGETHER]
-                    able = np.flatnonzero(high >= certain.value[d][q])
+                    able = np.flatnonzero((high >= certain.value[d][q]) & (numbers != own[q]))
                     if len(able):
-                        out += _best(int(names[q]), q, vectors[q], ids, rows, able[np.argsort(-high[able], kind="stable")], high, k)
+                        out += _best(int(names[q]), int(own[q]), vectors[q], ids, rows, able[np.argsort(-high[able], kind="stable")], high, k)
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["query_id", "query_row", "vec_id", "score"])
 
     return file.mapInArrow(exact, FOUND)
 
 
-def _best(name: int, q: int, vector: np.ndarray, ids: np.ndarray, rows: np.ndarray, order: np.ndarray, high: np.ndarray, k: int) -> list[tuple]:
+def _best(name: int, number: int, vector: np.ndarray, ids: np.ndarray, rows: np.ndarray, order: np.ndarray, high: np.ndarray, k: int) -> list[tuple]:
     """Reads exact vectors in the order of their upper bounds, a few at a time, until no further one can be among the k best."""
-    own_left = True
     got_ids, got = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     step = 2 * k
     for at in range(0, len(order), step):
         if len(got) >= k and np.partition(got, len(got) - k)[len(got) - k] > high[order[at]]:
             break
         part = order[at : at + step]
-        if own_left and len(own := np.flatnonzero((ids[part] == name) & (rows[part] == vector).all(axis=1))):
-            part, own_left = np.delete(part, own[0]), False
         got_ids, got = np.concatenate([got_ids, ids[part]]), np.concatenate([got, _scores(vector, rows[part])])
     best = np.lexsort((got_ids, -got))[:k]
-    return [(name, q, int(i), int(s)) for i, s in zip(got_ids[best], got[best], strict=True)]
+    return [(name, number, int(i), int(s)) for i, s in zip(got_ids[best], got[best], strict=True)]
