@@ -4,10 +4,11 @@ A text's shingles, weighted by how often they occur, arrive as Poisson processes
 falls on a random component of the signature, which keeps its earliest one. A text is done when its next arrivals would all
 be later than its latest component. Two signatures agree in a component with the probability Jaccard similarity.
 
-Exact copies are one node. Texts that agree in a whole band share a bucket. In a bucket, nodes are compared with pivots, not
-with each other: at first with one; then, as long as a bucket holds nodes of different classes, with those outside its
-largest class. When no bucket is left, each two bucket mates of different classes have been compared, so no link between
-texts that share a band is lost, and a bucket of n near-copies costs about n comparisons.
+Exact copies are one node. Texts that agree in a whole band share a bucket. First, each bucket's nodes are compared with one
+pivot, the node with most bucket mates: copies that differ from each other are all like their original, and that has most
+mates. Then, in the buckets that still hold several classes, the nodes outside the largest class are compared with all mates
+of other classes, block by block, and only links leave the blocks. So every two bucket mates are compared or already in one
+class, no link between texts that share a band is lost, and a bucket of n near-copies costs about n comparisons.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import _GOLD, materialise, mix, shingle_hashes, text_column
 
@@ -26,8 +26,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Two texts of similarity 0.8 miss all bands with probability (1 - 0.8**ROWS)**BANDS, 5e-5.
 BANDS, ROWS = 25, 5
-#: Pivots of a bucket and round, after the first.
-PIVOTS = 64
+#: Nodes of a block: those that are compared, and the mates that they are compared with.
+PIVOTS, MATES = 64, 1024
+#: Numbers that a comparison of blocks works on at once.
+CELLS = 4_000_000
 #: Characters of text whose signatures are made together.
 TOGETHER = 2_000_000
 #: Tables of nodes of up to so many rows (24 bytes each) are broadcast, larger ones joined by shuffling.
@@ -136,46 +138,155 @@ def with_bands(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(docs[key].cast("long").alias("id"), node_of(t).alias("node"), t.alias("text")).mapInArrow(run, "id long, node binary, bands array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Those pairs (a, b) of nodes whose texts are similar."""
+SETS = "node binary, hashes binary, weights binary, keys binary"
+
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """SETS of (node, text): sorted distinct shingle hashes, how often each occurs, and the band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _in_parts(list(zip(*(c.to_pylist() for c in batch.columns), strict=True)), lambda r: len(r[2]) + len(r[3])):
-                nodes = {}
-                for a, b, s, t in part:
-                    nodes[a], nodes[b] = s, t
-                names = list(nodes)
-                h, d, w = weighted([nodes[n] for n in names])
-                at = np.searchsorted(d, np.arange(len(names) + 1))
-                sets = {n: (h[i:j], w[i:j]) for n, i, j in zip(names, at[:-1], at[1:], strict=True)}
-                good = [(a, b) for a, b, _, _ in part if similar(sets[a], sets[b], least)]
-                if good:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*good, strict=True)], names=["a", "b"])
-
-    joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b")
-    return joined.select("a", "b", "s", "t").mapInArrow(run, "a binary, b binary")
+            for part in _in_parts(list(zip(*(c.to_pylist() for c in batch.columns), strict=True)), lambda r: len(r[1])):
+                words = [t for _, t in part]
+                h, d, w = weighted(words)
+                at = np.searchsorted(d, np.arange(len(part) + 1))
+                keys = band_keys(signatures(words)[0])
+                cut = list(zip(at[:-1], at[1:], strict=True))
+                yield pa.RecordBatch.from_pydict({"node": pa.array([n for n, _ in part], pa.binary()), "hashes": pa.array([h[i:j].tobytes() for i, j in cut], pa.binary()), "weights": pa.array([w[i:j].astype(np.int32).tobytes() for i, j in cut], pa.binary()), "keys": pa.array([k.tobytes() for k in keys], pa.binary())})
 
+    return texts.select("node", "text").mapInArrow(run, SETS)
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and comp (the component's least node) of all nodes of the edges (a, b): least labels, with pointer jumping."""
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
-        lower = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "m").alias("comp"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        new = materialise(lower.join(jump, "comp").select("node", "was", F.least("comp", "up").alias("comp")), "labels")
-        labels = new.select("node", "comp")
-        if not new.where(F.col("was") != F.col("comp")).limit(1).count():
-            return labels
+
+def _set(hashes: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(hashes, dtype=np.uint64), np.frombuffer(weights, dtype=np.int32)
+
+
+def _links(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found, strict=True)], names=["a", "b"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those pairs (a, b) of nodes whose shingles are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            good = [(a, b) for a, b, ha, wa, hb, wb in rows if similar(_set(ha, wa), _set(hb, wb), least)]
+            if good:
+                yield _links(good)
+
+    one, two = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}"), F.col("weights").alias(f"w{x}")) for x in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(run, "a binary, b binary")
+
+
+class _Block:
+    """Pivots of one bucket that a stream of mates is compared with."""
+
+    def __init__(self, least: float):
+        self.least, self.nodes, self.classes, self.sets, self.keys = least, [], [], [], []
+
+    def add(self, node: bytes, comp: bytes, pair: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> None:
+        self.nodes.append(node)
+        self.classes.append(comp)
+        self.sets.append(pair)
+        self.keys.append(keys)
+
+    def compare(self, band: int, mates: list[tuple]) -> list[tuple[bytes, bytes]]:
+        """Links between pivots and mates (node, comp, set, keys) of other classes that share no earlier band.
+
+        A link needs ``least`` of the mate's shingles, by number or by weight, in the pivot: that is counted for all pairs at
+        once (shares of probability Jaccard and of Jaccard similarity are no larger), the similarity itself for the rest.
+        """
+        out, at = [], 0
+        names = np.array([n.hex() for n in self.classes])
+        others = np.array([m[1].hex() for m in mates])
+        keys = np.array([m[3] for m in mates])
+        sizes = np.array([len(m[2][0]) for m in mates])
+        hashes, weights = np.concatenate([m[2][0] for m in mates]), np.concatenate([m[2][1] for m in mates])
+        starts = np.cumsum(sizes) - sizes
+        while at < len(self.nodes):
+            end, total = at, 0
+            while end < len(self.nodes) and (end == at or (total + len(self.sets[end][0])) * (end + 1 - at) <= CELLS):
+                total += len(self.sets[end][0])
+                end += 1
+            union = np.unique(np.concatenate([h for h, _ in self.sets[at:end]]))
+            has = np.zeros((len(union) + 1, end - at), dtype=np.int32)
+            for i, (h, _) in enumerate(self.sets[at:end]):
+                has[np.searchsorted(union, h), i] = 1
+            place = np.minimum(np.searchsorted(union, hashes), len(union) - 1)
+            place[union[place] != hashes] = len(union)
+            inside = has[place]
+            share = np.add.reduceat(inside, starts, axis=0) / sizes[:, None]
+            if (weights > 1).any():
+                inside *= weights[:, None]
+                share = np.maximum(share, np.add.reduceat(inside, starts, axis=0) / np.add.reduceat(weights, starts)[:, None])
+            for m, i in np.argwhere(share >= self.least - 1e-9):
+                p = at + i
+                if names[p] != others[m] and not (keys[m][:band] == self.keys[p][:band]).any() and similar(self.sets[p], mates[m][2], self.least):
+                    out.append((self.nodes[p], mates[m][0]))
+            at = end
+        return out
+
+
+def compared(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between nodes of different classes in buckets (band, number, node, comp) that hold several classes.
+
+    The nodes outside a bucket's largest class, in blocks of about PIVOTS, meet all its nodes, in blocks of about MATES. A task
+    streams the sorted blocks and holds one block's pivots; a bucket of any size is many blocks.
+    """
+    sizes = members.groupBy("band", "comp").agg(F.count("*").alias("k"))
+    buckets = sizes.groupBy("band").agg(F.sum("k").alias("n"), F.max("k").alias("top"), F.max_by("comp", F.struct("k", "comp")).alias("largest"), F.count("*").alias("classes")).where("classes > 1")
+    blocks, shares = F.ceil((F.col("n") - F.col("top")) / PIVOTS).cast("int"), F.ceil(F.col("n") / MATES).cast("int")
+    rows = members.join(buckets.select("band", "largest", blocks.alias("blocks"), shares.alias("shares")), "band")
+    dealt = F.pmod(F.xxhash64("node"), F.lit(1 << 30)).cast("int")
+    mate = rows.select("band", "number", "node", "comp", (dealt % F.col("shares")).alias("share"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"))
+    pivot = rows.where(F.col("comp") != F.col("largest")).select("band", "number", "node", "comp", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), (dealt % F.col("blocks")).alias("block"), F.lit(0).alias("kind"))
+    placed = mate.unionByName(pivot).join(sets, "node")
+    order = ["band", "block", "share"]
+    stream = placed.repartition(*order).sortWithinPartitions(*order, "kind").select(*order, "kind", "number", "node", "comp", "hashes", "weights", "keys")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, block, mates, size, number = None, _Block(least), [], 0, 0
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != group or size * max(1, len(block.nodes)) > CELLS:
+                    if mates and block.nodes and (good := block.compare(number, mates)):
+                        yield _links(good)
+                    mates, size = [], 0
+                    if row[:3] != group:
+                        group, block, number = row[:3], _Block(least), row[4]
+                pair, keys = _set(row[7], row[8]), np.frombuffer(row[9], dtype=np.int64)
+                if row[3] == 0:
+                    block.add(row[5], row[6], pair, keys)
+                else:
+                    mates.append((row[5], row[6], pair, keys))
+                    size += len(pair[0])
+        if mates and block.nodes and (good := block.compare(number, mates)):
+            yield _links(good)
+
+    return stream.mapInArrow(run, "a binary, b binary")
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """df with a hint to broadcast it if it is small enough by count."""
+    """df with a hint to broadcast it if it is small enough by count; larger tables are joined by shuffling."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """node and comp (the component's least node) of all nodes of the edges (a, b): least labels of neighbours, with pointer jumping."""
+    ends = F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")), F.struct(F.col("a").alias("x"), F.col("a").alias("y")), F.struct(F.col("b").alias("x"), F.col("b").alias("y")))
+    links = edges.select(F.explode(ends).alias("e")).select("e.x", "e.y")
+    labels = materialise(links.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("comp")), "labels")
+    while True:
+        known = _small(labels)
+        low = links.join(known.select(F.col("node").alias("y"), "comp"), "y").groupBy(F.col("x").alias("node")).agg(F.min("comp").alias("low"))
+        jump = low.join(known.select(F.col("node").alias("low"), F.col("comp").alias("up")), "low").select("node", F.least("low", "up").alias("new"))
+        new = materialise(jump.join(known, "node").select("node", F.col("comp").alias("was"), F.col("new").alias("comp")), "labels")
+        labels = new.select("node", "comp")
+        if new.where(F.col("was") != F.col("comp")).isEmpty():
+            return labels
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """One row per document: id, class_id (the least id of its class), node and comp (MD5 of its text and of its class).
 
@@ -185,41 +296,27 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     """
     rows = materialise(with_bands(docs, key, text), "signatures")
     nodes = materialise(rows.groupBy("node").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands")), "nodes")
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    banded = nodes.select("node", "rep", F.posexplode("bands").alias("number", "band"))
+    buckets = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     mates = materialise(banded.join(buckets, "band"), "mates")
-    involved = materialise(mates.select("node").distinct().join(nodes.select("node", "rep"), "node"), "involved")
+    involved = materialise(mates.groupBy("node").agg(F.min("rep").alias("rep"), F.sum("n").alias("mates")), "involved")
     t = text_column(docs, text)
     texts = docs.select(node_of(t).alias("node"), docs[key].cast("long").alias("id"), t.alias("text"))
-    wanted = _small(involved.select(F.col("node").alias("n"), "rep"))
-    texts = materialise(texts.join(wanted, (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("rep"))).select("node", "text"), "texts")
-    if rows.count() != rows.select("id", "node").distinct().count():  # repeated rows
+    wanted = _small(involved).select(F.col("node").alias("n"), "rep")
+    texts = texts.join(wanted, (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("rep")))
+    if not rows.groupBy("id", "node").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # repeated rows
         texts = texts.dropDuplicates(["node"])
-
-    first = mates.groupBy("band").agg(F.min("node").alias("a"))
-    tested = materialise(mates.join(first, "band").where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct(), "pairs")
-    links = materialise(_verified(tested, texts, least), "found")
-    done = None
-    while True:
-        found = components(links)
-        members = mates.join(found, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
-        split = members.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-        members = materialise(members.join(split, "band"), "members")
-        sizes = members.groupBy("band", "comp").agg(F.count("*").alias("n"))
-        largest = sizes.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"))
-        rest = members.join(largest, "band").where(F.col("comp") != F.col("largest")).select("band", "node", "comp")
-        rest = rest if done is None else rest.join(done, ["band", "node"], "left_anti")
-        ranked = rest.withColumn("r", F.row_number().over(Window.partitionBy("band").orderBy(F.xxhash64("node"), "node"))).where(F.col("r") <= PIVOTS)
-        pivots = materialise(ranked.select("band", F.col("node").alias("p"), F.col("comp").alias("q")), "pivots")
-        if not pivots.limit(1).count():
-            break
-        used = pivots.select("band", F.col("p").alias("node"))
-        done = used if done is None else done.unionByName(used)
-        pairs = pivots.join(members, "band").where(F.col("q") != F.col("comp")).select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
-        pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(pairs)
-        links = links.unionByName(materialise(_verified(pairs, texts, least), "found"))
-    named = nodes.select("node", "rep").join(found, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
+    sets = materialise(shingle_sets(texts), "sets")
+
+    centre = mates.join(_small(involved).select("node", "mates"), "node").groupBy("band").agg(F.max_by("node", F.struct("mates", "node")).alias("a"))
+    pairs = mates.join(centre, "band").where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
+    links = materialise(verified(pairs, sets, least), "links")
+    found = components(links)
+    members = mates.select("band", "number", "node").join(_small(found), "node", "left").select("band", "number", "node", F.coalesce("comp", "node").alias("comp"))
+    more = materialise(compared(members, sets, least), "links")
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
+    named = nodes.select("node", "rep").join(_small(found), "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     ids = named.groupBy("comp").agg(F.min("rep").alias("class_id"))
     of_node = named.select("node", "comp").join(ids, "comp")
     return rows.select("id", "node").join(of_node, "node").select("id", "class_id", "node", "comp")
