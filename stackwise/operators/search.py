@@ -134,6 +134,21 @@ def select_ids(catalog: DataFrame, book_tags: DataFrame | None, spec: SearchSpec
     return out if limit is None else out.limit(limit)
 
 
+def resolve_selection(catalog: DataFrame, book_tags: DataFrame | None, request: dict) -> DataFrame:
+    """Ids of a request: those of ``ids`` as given (repeats and non-numbers out), or with ``allMatching`` all that fit ``filters`` less ``excludeIds``, up to ``limit``."""
+    spark = catalog.sparkSession
+
+    def numbers(values) -> list[tuple[int]]:
+        return [(i,) for i in dict.fromkeys(int(x) for x in values or [] if str(x).isdigit())]
+
+    if not request.get("allMatching"):
+        return spark.createDataFrame(numbers(request.get("ids")), "id long")
+    known = {k: v for k, v in (request.get("filters") or {}).items() if k in SearchSpec.__dataclass_fields__ and v is not None}
+    exclude = numbers(request.get("excludeIds"))
+    limit = request.get("limit")
+    return select_ids(catalog, book_tags, SearchSpec(**known), spark.createDataFrame(exclude, "id long") if exclude else None, int(limit) if limit else None)
+
+
 def in_request_order(catalog: DataFrame, ids: Sequence) -> DataFrame:
     """Rows of the asked ids in that order with ``pos``, repeats repeated; unknown ids and non-numbers are left out."""
     asked = [(i, int(x)) for i, x in enumerate(x for x in ids if str(x).isdigit())]

@@ -488,11 +488,12 @@ def job_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.recover(rows, 1.0).select("id", "status", "interrupted", "message")
 
 
-@query(f"""WITH RECURSIVE log AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS n FROM ({JOB_LOG_SQL})),
+@query(f"""WITH RECURSIVE log AS (SELECT id, seq, "at" / 20000 AS "at", CASE status WHEN 'failed' THEN 'failed' ELSE 'running' END AS status, processed, row_number() OVER (PARTITION BY id ORDER BY seq) AS n FROM ({JOB_LOG_SQL})),
     fold AS (SELECT id, n, seq, "at", status, processed, true AS persisted, "at" AS last_at, processed AS last_p FROM log WHERE n = 1
       UNION ALL SELECT l.id, l.n, l.seq, l."at", l.status, l.processed, p, CASE WHEN p THEN l."at" ELSE last_at END, CASE WHEN p THEN l.processed ELSE last_p END
       FROM (SELECT l.id, l.n, l.seq, l."at", l.status, l.processed, f.last_at, f.last_p, l.status <> f.status OR l.status IN ('finished', 'failed', 'interrupted') OR l."at" - f.last_at >= 10 OR l.processed - f.last_p >= 250 AS p
             FROM fold f JOIN log l ON l.id = f.id AND l.n = f.n + 1) l)
     SELECT id, seq, "at", status, processed FROM fold WHERE persisted""")
 def job_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.throttled(views.job_log(spark, sf_dir))
+    log = views.job_log(spark, sf_dir)  # days of events as seconds of a job, so that the interval matters
+    return jobs.throttled(log.withColumns({"at": F.col("at") / 20000, "status": F.when(F.col("status") == "failed", "failed").otherwise("running")}))

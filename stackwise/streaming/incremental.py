@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.jobs import INTERVAL_SECONDS, PROGRESS, TERMINAL
@@ -51,3 +52,33 @@ def throttle_stream(updates: DataFrame) -> DataFrame:
     """A stream of job updates (id, seq, at, status, processed) reduced to those that are persisted."""
     return updates.groupBy("id").applyInPandasWithState(_persist, THROTTLED, _STATE, "append", GroupStateTimeout.NoTimeout)
 
+
+
+class ScanProgress(StreamingQueryListener):
+    """Tells ``report(files so far, "running" or "finished")`` as a file stream goes on: at least EVERY_FILES files or EVERY_SECONDS apart."""
+
+    EVERY_FILES, EVERY_SECONDS = 100, 2.0
+
+    def __init__(self, report: Callable[[int, str], None], clock: Callable[[], float] = time.monotonic):
+        self.report, self.clock = report, clock
+        self.files, self.told, self.at = 0, 0, clock()
+
+    def onQueryStarted(self, event) -> None:
+        self.files = self.told = 0
+        self.at = self.clock()
+
+    def onQueryProgress(self, event) -> None:
+        self.seen(event.progress.numInputRows)
+
+    def seen(self, files: int) -> None:
+        self.files += files
+        now = self.clock()
+        if self.files - self.told >= self.EVERY_FILES or (now - self.at >= self.EVERY_SECONDS and self.files > self.told):
+            self.told, self.at = self.files, now
+            self.report(self.files, "running")
+
+    def onQueryIdle(self, event) -> None:
+        """Nothing arrives, so there is nothing to tell."""
+
+    def onQueryTerminated(self, event) -> None:
+        self.report(self.files, "finished")
