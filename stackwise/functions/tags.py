@@ -93,26 +93,41 @@ def normalize_tag(c: Column) -> Column:
     return let(F.btrim(squeeze(text_of(c)), F.lit(".,;:，。；：/\\|")), lambda t: let(F.struct(t.alias("t"), F.lower(t).alias("low")), label_of))
 
 
-def keyword_hit(text: Column, keywords: Sequence[str]) -> Column:
-    """Whether lower-case text has one of the keywords: ASCII ones not between other letters or digits, others anywhere.
+def _parts(text: Column) -> Column:
+    """What the keywords of all labels are looked up in, worked out once: text, its ASCII words, whether it has other characters."""
+    return let(text, lambda x: F.struct(x.alias("text"), F.array_distinct(F.split(x, "[^a-z0-9]+")).alias("words"), x.rlike(r"[^\x00-\x7f]").alias("wide")))
+
+
+def _hit(x: Column, keywords: Sequence[str]) -> Column:
+    """Whether the text of _parts has one of the keywords.
 
-    Keywords of one kind are one regular expression, so a label costs two or three passes however many keywords it has.
+    An ASCII word is one of the text's words; one of several words is searched between other characters; keywords in other
+    scripts are searched anywhere, and only in texts that have such characters.
     """
-    ascii_ = [k for k in keywords if re.fullmatch(r"[a-z0-9 +#.-]+", k)]
-    blank = [k for k in keywords if k in BLANKED]
-    plain = [k for k in keywords if k not in ascii_ and k not in blank]
-    hits = [F.contains(F.regexp_replace(text, BLANKED[k], " "), F.lit(k)) for k in blank]
-    if ascii_:
-        hits.append(text.rlike("(?<![a-z0-9])(?:" + "|".join(map(re.escape, ascii_)) + ")(?![a-z0-9])"))
-    if plain:
-        hits.append(any_of(text, plain))
+    words = [k for k in keywords if re.fullmatch("[a-z0-9]+", k)]
+    phrases = [k for k in keywords if k not in words and re.fullmatch(r"[a-z0-9 +#.-]+", k)]
+    blanked = [k for k in keywords if k in BLANKED]
+    rest = [k for k in keywords if k not in (*words, *phrases, *blanked)]
+    wide, narrow = [k for k in rest if not k.isascii()], [k for k in rest if k.isascii()]
+    hits = [F.arrays_overlap(x["words"], F.array(*map(F.lit, words)))] if words else []
+    hits += [F.contains(x["text"], F.lit(k)) & x["text"].rlike(f"(?<![a-z0-9]){re.escape(k)}(?![a-z0-9])") for k in phrases]
+    hits += [F.contains(x["text"], F.lit(k)) for k in narrow]
+    others = [any_of(x["text"], wide)] if wide else []
+    others += [F.contains(F.regexp_replace(x["text"], BLANKED[k], " "), F.lit(k)) for k in blanked]
+    if others:
+        hits.append(x["wide"] & reduce(or_, others))
     return reduce(or_, hits)
 
 
+def keyword_hit(text: Column, keywords: Sequence[str]) -> Column:
+    """Whether lower-case text has one of the keywords: ASCII ones not between other letters or digits, others anywhere."""
+    return let(_parts(text), lambda x: _hit(x, keywords))
+
+
 def infer_tags(*parts: Column, subjects: Column | None = None, limit: int = 10) -> Column:
     """Labels whose keywords the parts have, in vocabulary order, then the subjects' labels."""
     text = F.lower(F.concat_ws(" ", *(F.nullif(text_of(p), F.lit("")) for p in parts)))
-    found = let(text, lambda x: F.filter(F.array(*(F.when(keyword_hit(x, words), F.lit(label)) for label, words in KEYWORDS.items())), lambda t: t.isNotNull()))
+    found = let(_parts(text), lambda x: F.filter(F.array(*(F.when(_hit(x, words), F.lit(label)) for label, words in KEYWORDS.items())), lambda t: t.isNotNull()))
     if subjects is not None:
         found = F.array_distinct(F.concat(found, _normalized(subjects)))
     return F.slice(found, 1, limit)
