@@ -332,6 +332,6 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     found = materialise(classes(docs, key, text, least), "classes")
     kept = found.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "node")).alias("k")).select(F.col("k.id").alias("_id"), F.col("k.node").alias("_node"))
     t = text_column(docs, text)
-    out = docs.join(kept, docs[key].cast("long").eqNullSafe(F.col("_id")) & (node_of(t) == F.col("_node")), "left_semi")
+    out = docs.join(kept, docs[key].cast("long").eqNullSafe(kept["_id"]) & (node_of(t) == kept["_node"]), "left_semi")
     repeated = found.groupBy("id", "node").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     return out.dropDuplicates([key, text]) if repeated else out
