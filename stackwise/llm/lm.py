@@ -27,6 +27,8 @@ SYMBOLS = HEAD + ENDINGS
 CONTEXT, DIMENSIONS = 3, 24
 NOISE, BATCH, RATE, PASSES = 64, 1024, 0.05, 2
 TABLE = 400_000
+#: Places that are scored by one matrix product.
+SCORED = 512
 FOLDS, FOLD = 5, 1
 TOGETHER = 1_000_000
 END_TOKEN = np.uint64(0x454E44)
@@ -168,6 +170,14 @@ def predicted(p: list[np.ndarray], padded: np.ndarray) -> np.ndarray:
     return out
 
 
+def _logistic(x: np.ndarray) -> np.ndarray:
+    """The logistic function, in place."""
+    with np.errstate(over="ignore"):
+        np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 def train(p: list[np.ndarray], stream: Iterator[tuple[np.ndarray, np.ndarray]], share: np.ndarray, seed: int) -> tuple[list[np.ndarray], int]:
     """Noise-contrastive estimation over (symbols, offsets); returns parameters and the number of tokens.
 
@@ -197,8 +207,10 @@ def train(p: list[np.ndarray], stream: Iterator[tuple[np.ndarray, np.ndarray]],
             target, ri = part[i], r[i]
             noise = np.minimum(np.searchsorted(cumulated, rng.random(NOISE)), SYMBOLS - 1)
             q, qn = p[2][target], p[2][noise]
-            up = 1 / (1 + np.exp(-np.clip((ri * q).sum(axis=1) + p[3][target] - shift[target], -30, 30))) - 1
-            down = 1 / (1 + np.exp(-np.clip(ri @ qn.T + p[3][noise] - shift[noise], -30, 30)))
+            up = _logistic(np.einsum("ij,ij->i", ri, q) + (p[3][target] - shift[target])) - 1
+            down = ri @ qn.T
+            down += p[3][noise] - shift[noise]
+            down = _logistic(down)
             g = np.zeros_like(r)
             g[i] = up[:, None] * q + down @ qn
             back = np.zeros_like(r)
@@ -220,16 +232,26 @@ def train(p: list[np.ndarray], stream: Iterator[tuple[np.ndarray, np.ndarray]],
 
 
 def log_probabilities(p: list[np.ndarray], symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Normalised natural log-probabilities of all symbols."""
+    """Normalised natural log-probabilities of all symbols.
+
+    Biases are one more dimension of the vectors, so a block of SCORED places is one matrix product, exponentials in place and
+    one more product for the sums. Only where a score could overflow is the row's greatest one taken off first.
+    """
     padded = _contexts(symbols, at)
     r = predicted(p, padded)[padded < SYMBOLS]
-    out = np.empty(len(symbols))
-    for a in range(0, len(symbols), 4096):
-        scores = r[a : a + 4096] @ p[2].T + p[3]
-        own = scores[np.arange(len(scores)), symbols[a : a + 4096]]
-        top = scores.max(axis=1)
-        np.exp(scores - top[:, None], out=scores)
-        out[a : a + 4096] = own - top - np.log(scores.sum(axis=1))
+    r = np.concatenate([r, np.ones((len(r), 1), dtype=r.dtype)], axis=1)
+    q = np.concatenate([p[2], p[3][:, None]], axis=1).astype(r.dtype)
+    out = np.einsum("ij,ij->i", r, q[symbols], dtype=np.float64)
+    reach = np.sqrt(np.square(r).sum(axis=1).max(initial=0) * np.square(q).sum(axis=1).max())
+    columns, ones, block = np.ascontiguousarray(q.T), np.ones(len(q), dtype=r.dtype), np.empty((SCORED, len(q)), dtype=r.dtype)
+    for a in range(0, len(symbols), SCORED):
+        part = r[a : a + SCORED]
+        scores, top = np.matmul(part, columns, out=block[: len(part)]), 0.0
+        if reach > 60:
+            top = scores.max(axis=1)
+            scores -= top[:, None]
+        np.exp(scores, out=scores)
+        out[a : a + SCORED] -= np.log((scores @ ones).astype(np.float64)) + top
     return out
 
 
