@@ -55,13 +55,14 @@ def _strength(mean: Column, spread: Column, pages: Column) -> Column:
     return F.when(between <= noise / (1 + STRONGEST), F.lit(STRONGEST)).otherwise(F.greatest(F.lit(WEAKEST), F.least(F.lit(STRONGEST), noise / between - 1)))
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
-    """Posterior of each host from ``outcomes`` (host, good 0/1, n: pages with that outcome).
+def _levels(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, tuple[float, float]]:
+    """Posteriors of hosts (host, mean, deviation, pages), and what is known of a host without labelled pages: by domain (md, dd), by suffix (ms, ds), and else.
 
     From the top: all pages give the suffixes' prior, a suffix's posterior mean gives the prior of its domains, a domain's
-    that of its hosts; each prior's strength comes from how much the children differ. Returns host, domain, suffix, labelled
-    pages of each, and mean and deviation of each level's posterior. Every step sums counts that were summed before, so a
-    host with a third of all pages is one row per task in the shuffle.
+    that of its hosts; each prior's strength comes from how much the children differ. A host without labelled pages has the
+    mean of its domain, suffix or all pages, and the variance of that level's posterior, to which each level below adds
+    how much its children differ. Every step sums counts that were summed before, so a host with a third of all pages is
+    one row per task in the shuffle.
     """
     domain, suffix = host_levels(F.col("host"))
     hosts = outcomes.groupBy("host").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("good")).alias("g")).select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "g")
@@ -77,34 +78,55 @@ def reputation(outcomes: DataFrame) -> DataFrame:
 
     top, ks, kd, kh = total.first(), moments(suffixes).first(), moments(domains).first(), moments(hosts).first()
     if not top["N"]:  # nothing is labelled
-        return hosts.select("host", F.lit(0.5).alias("mean"), F.lit(0.5).alias("deviation"), F.lit(0).cast("long").alias("pages"))
+        half = F.lit(0.5)
+        return hosts.select("host", half.alias("mean"), half.alias("deviation"), F.lit(0).cast("long").alias("pages")), domains.select("domain", half.alias("md"), half.alias("dd")), suffixes.select("suffix", half.alias("ms"), half.alias("ds")), (0.5, 0.5)
 
     def post(g: Column, n: Column, prior: Column, strength: float) -> Column:
         return (g + prior * F.lit(strength)) / (n + F.lit(strength))
 
-    s = suffixes.select("suffix", post(F.col("g"), F.col("n"), F.lit(top["G"] / top["N"]), ks["k"]).alias("ms"))
-    d = domains.join(s, "suffix").select("domain", post(F.col("g"), F.col("n"), F.col("ms"), kd["k"]).alias("md"))
+    def below(mean, variance, *strengths: float):
+        """The variance of a child's share, from that of its ancestor's, through levels of the given strengths."""
+        for k in strengths:
+            variance = variance + (mean * (1 - mean) - variance) / (k + 1)
+        return variance
+
+    s = suffixes.select("suffix", F.col("n").alias("ns"), post(F.col("g"), F.col("n"), F.lit(top["G"] / top["N"]), ks["k"]).alias("ms"))
+    d = domains.join(s, "suffix").select("domain", F.col("n").alias("nd"), post(F.col("g"), F.col("n"), F.col("ms"), kd["k"]).alias("md"))
     h = hosts.join(d, "domain")
-    mean = post(F.col("g"), F.col("n"), F.col("md"), kh["k"])
-    return h.select("host", mean.alias("mean"), F.sqrt(mean * (1 - mean) / (F.col("n") + F.lit(kh["k"]) + 1)).alias("deviation"), F.col("n").alias("pages"))
+    mean, md, ms, m = post(F.col("g"), F.col("n"), F.col("md"), kh["k"]), F.col("md"), F.col("ms"), top["G"] / top["N"]
+    of_host = h.select("host", mean.alias("mean"), F.sqrt(mean * (1 - mean) / (F.col("n") + F.lit(kh["k"]) + 1)).alias("deviation"), F.col("n").alias("pages"))
+    of_domain = d.select("domain", "md", F.sqrt(below(md, md * (1 - md) / (F.col("nd") + kd["k"] + 1), kh["k"])).alias("dd"))
+    of_suffix = s.select("suffix", "ms", F.sqrt(below(ms, ms * (1 - ms) / (F.col("ns") + ks["k"] + 1), kd["k"], kh["k"])).alias("ds"))
+    return of_host, of_domain, of_suffix, (m, below(m, m * (1 - m) / (top["N"] + 1), ks["k"], kd["k"], kh["k"]) ** 0.5)
+
+
+def reputation(outcomes: DataFrame) -> DataFrame:
+    """Posterior of each host from ``outcomes`` (host, good 0/1, n: pages with that outcome): host, mean, deviation, pages."""
+    return _levels(outcomes)[0]
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df with a hint to broadcast it if it is small enough by count; larger tables are joined by shuffling."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def judge_pages(pages: DataFrame, outcomes: DataFrame, key: str = "page_id", url: str = "url", rules: Sequence[tuple[str, str]] = RULES, cut: float = CUT, z: float = Z) -> DataFrame:
     """One row per page: key, host, path, rule, verdict, reputation, deviation, labelled.
 
     ``outcomes`` has host, good (0/1) and n. Without a fitting rule, a page is blocked if mean + z deviations of its host's
-    posterior stay under ``cut``, else allowed; a host without labelled pages (so also an empty one) is allowed, and has
-    nulls for reputation and deviation. Null urls: empty host and path. Repeated rows are judged alike, each by itself.
+    posterior stay under ``cut``, else allowed. A host without labelled pages is judged by its domain's labelled pages, else
+    its suffix's, else all (an empty host, too); labelled is 0 then. If nothing is labelled at all, such pages are allowed.
+    Null urls: empty host and path. Repeated rows are judged alike, each by itself.
     """
     host, path = split_url(F.col("url"))
     base = pages.select(pages[key].alias(key), pages[url].cast("string").alias("url")).select(key, host.alias("host"), path.alias("path"))
     rule, says = longest_rule(F.col("host"), F.col("path"), rules)
-    known = reputation(outcomes)
-    known = F.broadcast(known) if outcomes.select("host").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else known
-    low = F.coalesce(F.col("mean") + F.lit(z) * F.col("deviation") < F.lit(cut), F.lit(False))
-    verdict = F.coalesce(F.col("says"), F.when(low, F.lit("block")).otherwise(F.lit("allow")))
-    judged = base.withColumns({"rule": rule, "says": says}).join(known, "host", "left")
-    return judged.select(key, "host", "path", "rule", verdict.alias("verdict"), F.col("mean").alias("reputation"), "deviation", F.coalesce("pages", F.lit(0)).cast("long").alias("labelled"))
+    domain, suffix = host_levels(F.col("host"))
+    hosts, domains, suffixes, (mean, deviation) = _levels(outcomes)
+    judged = base.withColumns({"rule": rule, "says": says, "domain": domain, "suffix": suffix}).join(_small(hosts), "host", "left").join(_small(domains), "domain", "left").join(_small(suffixes), "suffix", "left")
+    mean, deviation = F.coalesce("mean", "md", "ms", F.lit(mean)), F.coalesce("deviation", "dd", "ds", F.lit(deviation))
+    verdict = F.coalesce(F.col("says"), F.when(mean + F.lit(z) * deviation < F.lit(cut), F.lit("block")).otherwise(F.lit("allow")))
+    return judged.select(key, "host", "path", "rule", verdict.alias("verdict"), mean.alias("reputation"), deviation.alias("deviation"), F.coalesce("pages", F.lit(0)).cast("long").alias("labelled"))
 
 
 def outcomes_of(pages: DataFrame, labels: DataFrame, url: str = "url") -> DataFrame:

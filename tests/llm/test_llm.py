@@ -362,6 +362,18 @@ def test_reputation_shrinks(spark):
     assert {r["page_id"]: r["verdict"] for r in url_filter.judge_pages(pages, outcomes).collect()} == {1: "block", 2: "allow", 3: "allow", 4: "allow"}
 
 
+def test_hosts_without_labels_are_judged_by_domain_suffix_or_all(spark):
+    rows = [(f"h{i}.bad.com", 0, 30) for i in range(10)] + [(f"h{i}.good.com", 1, 30) for i in range(90)] + [(f"h{i}.d{i}.zip", 0, 30) for i in range(40)]
+    outcomes = spark.createDataFrame(rows, "host string, good int, n long")
+    urls = ["http://new.bad.com/", "http://new.good.com/", "http://a.new.zip/", "http://a.new.com/", "http://a.new.info/", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.judge_pages(pages, outcomes).collect()}
+    assert [got[i]["verdict"] for i in range(6)] == ["block", "allow", "block", "allow", "allow", "allow"]
+    assert all(r["labelled"] == 0 and 0 < r["reputation"] < 1 for r in got.values()) and got[4]["deviation"] > got[1]["deviation"]
+    worse = spark.createDataFrame([(f"h{i}.d{i}.zip", i % 100 == 0, 30) for i in range(300)], "host string, good boolean, n long").selectExpr("host", "cast(good as int) as good", "n")
+    assert {r["verdict"] for r in url_filter.judge_pages(pages, worse).where("page_id > 3").collect()} == {"block"}
+
+
 # ---------------------------------------------------------------- 9 near duplicates
 
 
