@@ -4,6 +4,9 @@ A text's shingles, weighted by how often they occur, arrive as Poisson processes
 falls on a random component of the signature, which keeps its earliest one. A text is done when its next arrivals would all
 be later than its latest component. Two signatures agree in a component with the probability Jaccard similarity.
 
+A text that repeats shingles has a second signature, of weights 1, whose components agree with the plain Jaccard similarity,
+so both similarities have candidates. Where nothing repeats, both signatures are the same, and their bands share buckets.
+
 Exact copies are one node. Texts that agree in a whole band share a bucket. First, each bucket's nodes are compared with one
 pivot, the node with most bucket mates: copies that differ from each other are all like their original, and that has most
 mates. Then, in the buckets that still hold several classes, the nodes outside the largest class are compared with all mates
@@ -52,13 +55,10 @@ def weighted(texts: list[str | None], k: int = SHINGLE) -> tuple[np.ndarray, np.
     return hashes[first], owner[first], np.diff(np.append(first, len(hashes)))
 
 
-def signatures(texts: list[str | None], m: int = BANDS * ROWS, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """The signatures (a row of m shingle hashes per text) and which texts have one (those with a word)."""
-    e, d, w = weighted(texts, k)
-    has = np.zeros(len(texts), dtype=bool)
-    has[d] = True
-    times, sig = np.full(len(texts) * m, np.inf), np.zeros(len(texts) * m, dtype=np.uint64)
-    last = np.full(len(texts), np.inf)
+def _earliest(e: np.ndarray, d: np.ndarray, w: np.ndarray, n: int, m: int) -> np.ndarray:
+    """Signatures of n texts, a row of m shingle hashes each, from their shingles' hashes, texts and weights."""
+    times, sig = np.full(n * m, np.inf), np.zeros(n * m, dtype=np.uint64)
+    last = np.full(n, np.inf)
     h, rate, t = np.zeros(len(e)), w.astype(np.float64), 0
     while len(e):
         t += 1
@@ -70,8 +70,16 @@ def signatures(texts: list[str | None], m: int = BANDS * ROWS, k: int = SHINGLE)
         better = np.flatnonzero(h < times[slot])
         better = better[np.argsort(-h[better], kind="stable")]  # of equal slots, the earliest is written last
         times[slot[better]], sig[slot[better]] = h[better], e[better]
-        last = times.reshape(len(texts), m).max(axis=1)
-    return sig.reshape(len(texts), m), has
+        last = times.reshape(n, m).max(axis=1)
+    return sig.reshape(n, m)
+
+
+def signatures(texts: list[str | None], m: int = BANDS * ROWS, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures (a row of m shingle hashes per text) and which texts have one (those with a word)."""
+    e, d, w = weighted(texts, k)
+    has = np.zeros(len(texts), dtype=bool)
+    has[d] = True
+    return _earliest(e, d, w, len(texts), m), has
 
 
 def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -81,6 +89,18 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return keys.view(np.int64)
 
 
+def both_keys(e: np.ndarray, d: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """Band keys of n texts from their weighted shingles: BANDS of the weighted signature, then BANDS of that of weights 1."""
+    keys = band_keys(_earliest(e, d, w, n, BANDS * ROWS))
+    plain = keys.copy()
+    repeats = np.unique(d[w > 1])
+    if len(repeats):
+        inside = np.isin(d, repeats)
+        e, d = e[inside], np.searchsorted(repeats, d[inside])
+        plain[repeats] = band_keys(_earliest(e, d, np.ones(len(e)), len(repeats), BANDS * ROWS))
+    return np.hstack([keys, plain])
+
+
 def prob_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Probability Jaccard similarity of two weighted sets (sorted hashes, weights): sum over common i of 1 / sum over j of max(a_j / a_i, b_j / b_i)."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -125,13 +145,16 @@ def _in_parts(rows: list[tuple], size_of) -> Iterator[list[tuple]]:
 
 
 def with_bands(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id, node (MD5 of the text), bands (none for a text without words)."""
+    """id, node (MD5 of the text), bands (none for a text without words): the keys of both_keys, null where the second repeats the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _in_parts(list(zip(*(c.to_pylist() for c in batch.columns), strict=True)), lambda r: len(r[2])):
-                sig, has = signatures([t for _, _, t in part])
-                keys = band_keys(sig).tolist()
+                e, d, w = weighted([t for _, _, t in part])
+                has = np.bincount(d, minlength=len(part)) > 0
+                keys = both_keys(e, d, w, len(part))
+                new = keys[:, :BANDS] != keys[:, BANDS:]
+                keys = [[*k[:BANDS], *(x if y else None for x, y in zip(k[BANDS:], more, strict=True))] if any(more) else k[:BANDS] for k, more in zip(keys.tolist(), new.tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict({"id": pa.array([i for i, _, _ in part], pa.int64()), "node": pa.array([n for _, n, _ in part], pa.binary()), "bands": pa.array([b if h else [] for b, h in zip(keys, has, strict=True)], pa.list_(pa.int64()))})
 
     t = text_column(docs, text)
@@ -150,7 +173,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
                 words = [t for _, t in part]
                 h, d, w = weighted(words)
                 at = np.searchsorted(d, np.arange(len(part) + 1))
-                keys = band_keys(signatures(words)[0])
+                keys = both_keys(h, d, w, len(part))
                 cut = list(zip(at[:-1], at[1:], strict=True))
                 yield pa.RecordBatch.from_pydict({"node": pa.array([n for n, _ in part], pa.binary()), "hashes": pa.array([h[i:j].tobytes() for i, j in cut], pa.binary()), "weights": pa.array([w[i:j].astype(np.int32).tobytes() for i, j in cut], pa.binary()), "keys": pa.array([k.tobytes() for k in keys], pa.binary())})
 
@@ -179,6 +202,12 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(run, "a binary, b binary")
 
 
+def shared_before(a: np.ndarray, b: np.ndarray, band: int) -> bool:
+    """Whether two texts with the keys of both_keys share a bucket of an earlier band."""
+    (a1, a2), (b1, b2) = a.reshape(2, -1)[:, :band], b.reshape(2, -1)[:, :band]
+    return bool(((a1 == b1) | (a2 == b2) | (a1 == b2) | (a2 == b1)).any())
+
+
 class _Block:
     """Pivots of one bucket that a stream of mates is compared with."""
 
@@ -222,7 +251,7 @@ class _Block:
                 share = np.maximum(share, np.add.reduceat(inside, starts, axis=0) / np.add.reduceat(weights, starts)[:, None])
             for m, i in np.argwhere(share >= self.least - 1e-9):
                 p = at + i
-                if names[p] != others[m] and not (keys[m][:band] == self.keys[p][:band]).any() and similar(self.sets[p], mates[m][2], self.least):
+                if names[p] != others[m] and not shared_before(keys[m], self.keys[p], band) and similar(self.sets[p], mates[m][2], self.least):
                     out.append((self.nodes[p], mates[m][0]))
             at = end
         return out
@@ -296,7 +325,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     """
     rows = materialise(with_bands(docs, key, text), "signatures")
     nodes = materialise(rows.groupBy("node").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands")), "nodes")
-    banded = nodes.select("node", "rep", F.posexplode("bands").alias("number", "band"))
+    banded = nodes.select("node", "rep", F.posexplode("bands").alias("number", "band")).where("band is not null").withColumn("number", F.col("number") % BANDS)
     buckets = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     mates = materialise(banded.join(buckets, "band"), "mates")
     involved = materialise(mates.groupBy("node").agg(F.min("rep").alias("rep"), F.sum("n").alias("mates")), "involved")

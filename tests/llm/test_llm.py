@@ -442,6 +442,15 @@ def test_probmin_hash_estimates_probability_jaccard():
             assert neardup.prob_jaccard(sets[i], sets[j]) == pytest.approx(true) and (sig[i] == sig[j]).mean() == pytest.approx(true, abs=0.04)
 
 
+def test_texts_that_differ_in_repetition_only_are_found(spark):
+    rows = []
+    for i in range(6):  # 300 shingles, of which 15 occur 200 times in the second text: plain Jaccard 0.987, weighted 0.14
+        words = [f"t{i}x{j}" for j in range(304)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words, *words[:19] * 200]))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(map(tuple, got.collect())) == [(i, i - i % 2) for i in range(12)]
+
+
 # ---------------------------------------------------------------- 10 mixing
 
 
