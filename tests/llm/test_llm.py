@@ -485,6 +485,32 @@ def test_mixing(spark, docs, none):
     assert mixing.in_mixed_order(docs).columns == docs.columns and mixing.in_mixed_order(none).count() == 0
 
 
+def test_schedule_keeps_exact_shares_for_any_weights():
+    blocks = {"big": 30_000, "half": 9_000, "rare": 40, "one": 1} | {f"s{i:04d}": i % 3 + 1 for i in range(1500)}
+    weights = {s: n**0.5 for s, n in blocks.items()} | {"big": 1.0 / 3, "half": 0.1234567, "rare": 0.00001}
+    plan = mixing.schedule(blocks, weights)
+    assert {s: len(x) for s, x in plan.items()} == blocks and sorted(x for slots in plan.values() for x in slots) == list(range(sum(blocks.values())))
+    two = mixing.schedule({"a": 60_000, "b": 30_000}, {"a": 2**0.5, "b": 1})
+    share = 1 / (1 + 2**0.5)
+    end = two["a"][-1] // 2
+    assert all(abs(i - share * slot) < 1 and abs(i + 1 - share * (slot + 1)) < 1 for i, slot in enumerate(two["b"]) if slot < end)
+    small = {"a": 50, "b": 7, "c": 13, "d": 1}
+    w = {"a": 0.7, "b": 0.001, "c": 2.5, "d": 0.3}
+    got = mixing.schedule(small, w)
+    for slot in range(1, 72):  # against the fluid mix, by bisection
+        low, high = 0.0, 1e6
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(w[s] * mid, small[s]) for s in w) < slot else (low, mid)
+        assert all(abs(sum(x < slot for x in got[s]) - min(w[s] * low, small[s])) < 1 + 1e-6 for s in w)
+
+
+def test_mixing_of_many_sources(spark):
+    df = spark.createDataFrame([(i, f"s{i % 1201}") for i in range(5000)], "doc_id long, source string").repartition(3)
+    out = mixing.mix_sources(df, block=2).collect()
+    assert sorted(r["position"] for r in out) == list(range(5000)) and len({r["source"] for r in out}) == 1201
+
+
 # ---------------------------------------------------------------- queries and pipeline
 
 
