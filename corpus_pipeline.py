@@ -31,8 +31,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents' tokens, packed into sequences."""
-    return packing.pack(docs, tokenizer_path()).withColumn("ids_crc32", F.crc32("ids"))
+    """All documents' tokens, packed into sequences that follow the order of the mix."""
+    return packing.pack_in_order(docs, tokenizer_path()).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [

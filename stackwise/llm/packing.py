@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,8 @@ END = 0
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Tokens of a batch that goes back to Spark.
 BATCH_TOKENS = 1 << 20
+#: Documents and tokens up to which neighbours are packed together by pack_in_order.
+GROUP_DOCS, GROUP_TOKENS = 4096, 1 << 22
 #: Ranks of parts up to so many numbers are broadcast, more are joined by shuffling.
 BROADCAST_NUMBERS = 2_000_000
 
@@ -199,3 +203,68 @@ def digest(packed: DataFrame) -> DataFrame:
     """pack's result with the ids' CRC-32 in place of the ids."""
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
+
+GROUPED = "doc_id long, start long, length long, ids binary, doc_tokens long, file string, first long, sequence long, offset long"
+
+
+def _group(found: list[tuple[int | None, bytes]], length: int, file: str, first: int) -> pa.RecordBatch:
+    """GROUPED rows of neighbours (document, ids), packed among themselves; sequences are numbered by their first document."""
+    pieces = [(doc, at, min(length, n - at), ids[4 * at : 4 * (at + length)], n) for doc, ids in found for n in [len(ids) // 4] for at in range(0, n, length)]
+    places: dict[int, list[tuple[int, int]]] = {}
+    for x, rank, end, sequence, offset in slots(pack_histogram(Counter(p[2] for p in pieces), length)):
+        places.setdefault(x, []).extend((sequence + i, offset) for i in range(end - rank))
+    taken: Counter = Counter()
+    numbers: dict[int, int] = {}
+    sequences, offsets = [], []
+    for piece in pieces:
+        sequence, offset = places[piece[2]][taken[piece[2]]]
+        taken[piece[2]] += 1
+        sequences.append(numbers.setdefault(sequence, len(numbers)))
+        offsets.append(offset)
+    doc, start, size, ids, n = zip(*pieces, strict=True)
+    longs = [pa.array(x, pa.int64()) for x in (doc, start, size, n, [first] * len(pieces), sequences, offsets)]
+    return pa.RecordBatch.from_arrays([*longs[:3], pa.array(ids, pa.binary()), longs[3], pa.array([file] * len(pieces), pa.string()), *longs[4:]], names=["doc_id", "start", "length", "ids", "doc_tokens", "file", "first", "sequence", "offset"])
+
+
+def _file_order(name: str) -> tuple[int, int, str]:
+    """Files in the order in which Spark's writers made them from an ordered table."""
+    part, more = re.match(r"part-(\d+)-", name), re.search(r"-c(\d+)\.", name)
+    return int(part[1]) if part else -1, int(more[1]) if more else -1, name
+
+
+def pack_in_order(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """As pack, for ``docs`` as read from Parquet files that were written in an order: sequences follow it.
+
+    Neighbours in a file, up to GROUP_DOCS documents or GROUP_TOKENS tokens, are packed among themselves by the task that reads
+    them, and their sequences are numbered by their first documents; groups follow the files' order and the rows in them,
+    however Spark deals the files to tasks. So the documents of the first sequences are the first documents, to one group. No
+    row is shuffled; the driver gets one row per group.
+    """
+    most_docs, most_tokens = GROUP_DOCS, GROUP_TOKENS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, tail = encoder(tokenizer), np.array([end], dtype="<u4").tobytes()
+        found, size, file, first = [], 0, None, 0
+        for batch in batches:
+            for doc, t, f, row in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if found and (f != file or row != first + len(found) or len(found) >= most_docs or size >= 4 * most_tokens):
+                    yield _group(found, length, file, first)
+                    found, size = [], 0
+                if not found:
+                    file, first = f, row
+                found.append((doc, enc.encode(t.as_py()) + tail))
+                size += len(found[-1][1])
+        if found:
+            yield _group(found, length, file, first)
+
+    spark = docs.sparkSession
+    rows = docs.select(docs[key].cast("long").alias("doc_id"), text_column(docs, text).alias("text"), docs["_metadata.file_name"].alias("file"), docs["_metadata.row_index"].alias("row"))
+    pieces = materialise(rows.mapInArrow(run, GROUPED), "pieces")
+    groups = sorted(pieces.groupBy("file", "first").agg((F.max("sequence") + 1).alias("n")).collect(), key=lambda r: (_file_order(r["file"]), r["first"]))
+    before, total = [], 0
+    for r in groups:
+        before.append((r["file"], r["first"], total))
+        total += r["n"]
+    base = spark.createDataFrame(before, "file string, first long, before long")
+    placed = pieces.join(F.broadcast(base) if len(before) <= BROADCAST_NUMBERS else base, ["file", "first"])
+    return placed.select("doc_id", "start", "length", "ids", "doc_tokens", (F.col("before") + F.col("sequence")).alias("sequence_id"), "offset")

@@ -546,3 +546,17 @@ def test_pipeline(spark):
     assert set(masked) == single and all(r["text"] == pii.masked(good[i]) and r["n_chars"] == len(r["text"]) and not base_spans(r["text"]) for i, r in masked.items())
     assert {r["doc_id"]: r["text"] for r in frames["mixing"].collect()} == {i: r["text"] for i, r in masked.items()}
     check_packing(frames["packing"].collect(), [r["text"] for r in masked.values()])
+
+
+def test_sequences_follow_the_mix(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_DOCS", 256)
+    rows = [(i, prose(i, 60 if i % 3 else 20), "en", "a" if i % 3 else "b", 1) for i in range(6000)]
+    source = {r[0]: r[3] for r in rows}
+    mixed = common.materialise(corpus_pipeline.mix(spark, spark.createDataFrame(rows, DOCS).repartition(3), DIR), "mixing")
+    out = corpus_pipeline.pack(spark, mixed, DIR).collect()
+    check_packing(out, [r[1] for r in rows])
+    assert len({r["sequence_id"] for r in out}) == max(r["sequence_id"] for r in out) + 1
+    share, seen = 2000**0.5 / (2000**0.5 + 4000**0.5), 0
+    for k, r in enumerate(sorted(out, key=lambda r: (r["sequence_id"], r["offset"])), start=1):
+        seen += source[r["doc_id"]] == "b"
+        assert not 1000 < k < 4500 or abs(seen / k - share) < 0.06
