@@ -45,17 +45,18 @@ class Encoder:
     """Byte-level BPE ids of texts, as the tokenizers library gives them for the same file.
 
     Where the file's vocabulary is ranked by its ids (each merge makes the next id), the merges run in tiktoken, which gives
-    the same ids several times as fast; else in tokenizers itself.
+    the same ids several times as fast; else in tokenizers itself. So are texts that hold an added token's string, which has
+    an id of its own, and those that tiktoken gives up on (runs of about a million white-space characters).
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         spec = json.loads(self.tokenizer.to_str())
         pre, model = spec["pre_tokenizer"] or {}, spec["model"]
         plain = pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre.get("use_regex", True) and spec["normalizer"] is None
+        self.added = [a["content"] for a in spec["added_tokens"]]
         self.ranked = self._ranked(model) if plain and model["type"] == "BPE" else None
 
     @staticmethod
@@ -72,7 +73,14 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        ids = self.ranked.encode_to_numpy(text, disallowed_special=()) if self.ranked else self.tokenizer.encode(text, add_special_tokens=False).ids
+        ids = None
+        if self.ranked and not any(a in text for a in self.added):
+            try:
+                ids = self.ranked.encode_to_numpy(text, disallowed_special=())
+            except ValueError:  # its regular expressions can't backtrack so far
+                pass
+        if ids is None:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.asarray(ids, dtype="<u4").tobytes()
 
 

@@ -152,6 +152,15 @@ def test_packing_wastes_little(spark):
     assert check_packing(rows, texts) < 0.02
 
 
+def test_ids_are_those_of_the_unmodified_tokenizers_encoder():
+    from tokenizers import Tokenizer
+
+    enc, plain = packing.Encoder(queries.tokenizer_path()), Tokenizer.from_file(queries.tokenizer_path())
+    for text in ("a<|endoftext|>b", "<|endoftext|>", "<|endoftext", "x" + " " * 1_000_000 + "y", "\n" * 1_000_000, "a  b\u00a0\u3000 c\t\n", ""):
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(enc.encode("a<|endoftext|>b"), "<u4").tolist() == [64, 50256, 65]
+
+
 def test_histogram_packing():
     rnd = random.Random(5)
     for _ in range(20):
