@@ -12,6 +12,8 @@ from ..schema import CATALOG, evolve
 from .enrich import OBTAINED, PENDING, VERSION
 
 KEPT_IF_BLANK = ("description", "language", "publisher", "published_year", "isbn", "source", "cover_path")
+#: Ranges that new rows are numbered in, values sampled for their bounds, and rows of a range where all values are sampled.
+RANGES, SAMPLE, RANGE_ROWS = 1024, 16_384, 4_096
 REMOTE = ("remote_source", "remote_url", "douban_rating", "douban_url")
 
 
@@ -83,16 +85,32 @@ def upsert(catalog: DataFrame, incoming: DataFrame, now: float, keep_better_desc
     return known.select(columns).unionByName(with_new_ids(fresh, old, "path").select(columns))
 
 
+def value_range(order: str, bounds: list[str]) -> Column:
+    """How many of the sorted bounds are at most the value: a binary search, so a row's range depends on its value alone."""
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    if not steps:
+        return F.lit(0)
+    table = F.array(*map(F.lit, bounds))
+
+    def halve(at: Column, step: Column) -> Column:
+        return F.when((at + step <= len(bounds)) & (F.try_element_at(table, at + step) <= F.col(order)), at + step).otherwise(at)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), halve)
+
+
 def with_new_ids(rows: DataFrame, catalog: DataFrame, order: str) -> DataFrame:
-    """rows with ids after the catalog's greatest, by ``order``: ranks inside hashed ranges plus the ranges' offsets.
+    """rows with ids after the catalog's greatest, by ``order`` (distinct values): ranks inside ranges plus the ranges' offsets.
 
-    The ranges are Spark's own range partitions by ``order``, so no task sees all rows.
+    The ranges are cut at RANGES values of a sample of the SAMPLE least hashes, so that no task sees all rows. They're
+    functions of the value, not of how Spark dealt the rows: ranking and counting agree whatever the plan of either.
     """
-    top = catalog.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    parts = rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    sample = sorted(r[0] for r in rows.select(order).orderBy(F.xxhash64(order), order).limit(SAMPLE).collect())
+    bounds = sorted(set(sample[:: max(1, -(-len(sample) // RANGES))])) if len(sample) == SAMPLE else sample[RANGE_ROWS::RANGE_ROWS]
+    parts = rows.withColumn("_part", value_range(order, bounds))
     ranked = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    sizes = ranked.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row per partition
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row per range
+    top = catalog.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     return ranked.join(F.broadcast(before), "_part").join(F.broadcast(top)).withColumn("id", F.col("top") + F.col("_before") + F.col("_r")).drop("_part", "_r", "_before", "top")
 
 

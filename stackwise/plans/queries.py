@@ -352,6 +352,16 @@ def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(F.broadcast(top)).select("path", "title", F.when(F.col("isbn") == "", F.lit(None)).otherwise(F.col("isbn")).alias("isbn"), F.when(F.col("id") > F.col("top"), 1).otherwise(0).alias("is_new"), "updated_at")
 
 
+@query("""WITH old AS (SELECT o_orderkey AS id, '/o/' || o_orderkey || '.txt' AS path FROM orders WHERE o_orderkey % 3 = 0),
+    new AS (SELECT '/o/' || o_orderkey || '.txt' AS path, CAST(floor(o_totalprice) AS BIGINT) AS size FROM orders)
+    SELECT path, size, CAST((SELECT max(id) FROM old) + row_number() OVER (ORDER BY path) AS BIGINT) AS id FROM new WHERE path NOT IN (SELECT path FROM old)
+    UNION ALL SELECT path, size, id FROM new JOIN old USING (path)""")
+def upsert_many_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first scan of most of a library: two thirds of the orders are new files, numbered by path."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr("'/o/' || o_orderkey || '.txt'").alias("path"), F.floor("o_totalprice").alias("size"), F.lit(1.0).alias("mtime"))
+    return merge.upsert(rows.where("id % 3 = 0").select("id", "path"), rows.drop("id"), now=5.0).select("path", "size", "id")
+
+
 @query("""WITH part_rows AS (SELECT 'part-' || p_partkey || '.txt' AS filename, CAST(p_size AS BIGINT) AS size, p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 9.0 ELSE 0.0 END AS mtime, CASE WHEN p_partkey % 5 = 0 THEN 'quarantined' ELSE 'active' END AS status FROM part)
     SELECT id, CASE WHEN id % 2 = 0 THEN size + 1 ELSE size END AS size, CAST(CASE WHEN id % 2 = 0 THEN 9 ELSE 3 END AS DOUBLE) AS mtime, 'active' AS status, CAST(CASE WHEN status = 'quarantined' THEN 7 ELSE 0 END AS DOUBLE) AS updated_at FROM part_rows WHERE id % 3 = 0
     UNION ALL SELECT id, size, CAST(0 AS DOUBLE), status, CAST(0 AS DOUBLE) FROM part_rows WHERE id % 3 <> 0""")

@@ -53,6 +53,21 @@ def test_evolve_fills_missing(spark):
     assert (row["title"], row["source"], row["status"], row["size"], row["remote_lookup_version"]) == ("", "local", "active", 0, 0)
 
 
+@pytest.mark.parametrize("n", [0, 1, 20_000, 200_000])
+def test_upsert_of_many_new_files(spark, n):
+    """Every new file stays, with ids that follow the catalog's greatest by path, although adaptive plans differ by branch."""
+    new = spark.range(n).select(F.concat(F.lit("/x/"), F.md5(F.col("id").cast("string")), F.lit(".txt")).alias("path"), F.col("id").alias("size"), F.lit(1.0).alias("mtime"), F.lit("Some title").alias("title"), F.repeat(F.lit("d "), 40).alias("description"))
+    old = evolve(spark.createDataFrame([(7, "/a.txt")], "id long, path string"))
+    if n > 100_000:  # the numbering alone, on wide rows
+        out = merge.with_new_ids(new, old, "path")
+    else:
+        out = merge.upsert(old, new, 1.0).where("path <> '/a.txt'")
+    r = out.select("id", "path").agg(F.count("*").alias("n"), F.countDistinct("id").alias("d"), F.min("id").alias("least"), F.max("id").alias("most"), F.countDistinct("path").alias("paths")).first()
+    assert (r["n"], r["d"], r["paths"]) == (n, n, n) and (not n or (r["least"], r["most"]) == (8, 7 + n))
+    ids = [x["path"] for x in out.select("id", "path").orderBy("id").collect()]
+    assert ids == sorted(ids)
+
+
 def test_upsert(spark):
     old = evolve(spark.createDataFrame([(5, "/a/x.txt", "旧书", "人", "d", "9.1", "quarantined"), (6, "/a/y.txt", "y book", "", "", "", "active")], "id long, path string, title string, authors string, description string, douban_rating string, status string"))
     new = spark.createDataFrame([("/a/x.txt", 3, 1.0, "0001", "unknown", "", ["历史"], False), ("/b/z.txt", 4, 2.0, "", "", "", None, False), ("/b/a.txt", 4, 2.0, "新书", "", "", None, False)], "path string, size long, mtime double, title string, authors string, description string, tags array<string>, reset_remote boolean")
