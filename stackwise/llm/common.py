@@ -38,6 +38,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs dealt evenly to all cores if it has fewer splits than there are; larger tables stay as they are read.
+
+    Work on texts costs far more than moving them once, and a file of one row group is one split.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def text_column(docs: DataFrame, name: str = "text"):
     """The text; null counts as empty."""
     return F.coalesce(docs[name].cast("string"), F.lit(""))

@@ -275,12 +275,55 @@ def test_lm_base_and_model(two_languages):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)  # the language of a text is predictable
 
 
-def test_lm_is_normalised():
-    rng = np.random.default_rng(1)
-    p = [rng.normal(0, 1, s).astype(np.float32) for s in lm.SHAPES]
-    context = [3, 1, 4]
-    logs = [lm.log_probabilities(p, np.array([*context, s]), np.array([0, 4]))[3] for s in range(lm.SYMBOLS)]
-    assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
+@pytest.fixture(scope="module")
+def vocabulary(spark):
+    """Counts of 1,500 tokens of four endings: some heads, classes of words, and rests."""
+    rng = np.random.default_rng(3)
+    tokens = np.unique(rng.integers(0, 1 << 62, 1500).astype(np.int64)) & ~127 | rng.integers(0, 4, 1500)
+    return lm.Vocabulary(spark.createDataFrame([(int(t), int(3000 // (i + 1)) + 18) for i, t in enumerate(tokens)], "token long, n long"))
+
+
+def test_lm_is_normalised(vocabulary):
+    v, rng = vocabulary, np.random.default_rng(1)
+    assert len(v.words) > 1000 and len(v.first) > 5 and (np.diff(v.first) <= lm.MEMBERS).all()
+    context = [3, 1, v.symbols - 1]
+    for scale in (0.5, 30):  # with and without scores that overflow
+        p = [rng.normal(0, scale, s).astype(np.float32) for s in lm.shapes(v)]
+        logs = [lm.log_probabilities(p, v, np.array([*context, s]), np.array([0, 4]))[3] for s in range(v.symbols)]
+        assert np.exp(logs).sum() == pytest.approx(1, abs=1e-3)
+    # brute force, one place at a time
+    p = [rng.normal(0, 0.5, s).astype(np.float32) for s in lm.shapes(v)]
+    symbols, at = rng.integers(0, v.symbols, 50), np.array([0, 7, 7, 50])
+    got = lm.log_probabilities(p, v, symbols, at)
+    for i, s in enumerate(symbols):
+        begin = at[np.searchsorted(at, i, side="right") - 1]
+        r = sum(p[1][j - 1] * p[0][symbols[i - j] if i - j >= begin else v.symbols] for j in range(1, lm.CONTEXT + 1))
+        up = p[2] @ r + p[3]
+        want = up[v.upper[s]] - np.log(np.exp(up).sum())
+        if s >= lm.HEAD + lm.ENDINGS:
+            c = v.upper[s] - lm.HEAD - lm.ENDINGS
+            own = (p[4] @ r + p[5])[v.first[c] : v.first[c + 1]]
+            want += own[s - lm.HEAD - lm.ENDINGS - v.first[c]] - np.log(np.exp(own).sum())
+        assert got[i] == pytest.approx(want, abs=1e-3)
+
+
+def test_lm_tables(vocabulary):
+    v, rng = vocabulary, np.random.default_rng(2)
+    draws, share = v.draws()
+    assert all(sorted(set(draws[c])) == list(range(a, b)) for c, (a, b) in enumerate(zip(v.first[:-1], v.first[1:], strict=True)))
+    assert share == pytest.approx(np.bincount(draws.ravel(), minlength=len(v.words)) / lm.DRAWS)
+    keys = np.unique(rng.integers(0, 1 << 63, 3000).astype(np.uint64) | (np.uint64(7) << np.uint64(58)))  # many in the same slots
+    found = lm.Table(keys[::2]).find(keys)
+    assert (found[::2] == np.arange(len(keys[::2]))).all() and (found[1::2] == -1).all()
+    assert (lm.Table(keys[:0]).find(keys) == -1).all()
+
+
+def test_lm_learns_words(spark):
+    """Words beyond the heads are predicted from the words before them, by a margin over the unigram base."""
+    rnd = random.Random(5)
+    rows = [(i, " ".join(f"{w}{k:03d}{w}" for k in [rnd.randrange(300) for _ in range(40)] for w in ("a", "b")), "en", "s", 1) for i in range(1500)]
+    got = lm.score_texts(spark.createDataFrame(rows, DOCS).repartition(2)).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert got["s"] / got["n"] > got["b"] / got["n"] + 0.25
 
 
 def test_lm_of_odd_rows(docs, none, monkeypatch):
