@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,8 @@ def spread(docs: DataFrame) -> DataFrame:
     Work on texts costs far more than moving them once, and a file of one row group is one split.
     """
     cores = docs.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():  # dealt by a shuffle, which counting splits would run
+        return docs
     return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
@@ -52,6 +55,23 @@ def text_column(docs: DataFrame, name: str = "text"):
     return F.coalesce(docs[name].cast("string"), F.lit(""))
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int, row: int, unit: int = 1) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of the batches with their column as a list: of about ``most`` units (``unit`` values each), where a row counts ``row`` more.
+
+    Only one slice's values are Python objects at a time, and rows of empty values are bounded, too.
+    """
+    for batch in batches:
+        values = batch.column(column)
+        at = 0
+        while at < batch.num_rows:
+            found, size = [], 0
+            while at + len(found) < batch.num_rows and size <= most:
+                found.append(values[at + len(found)].as_py())
+                size += len(found[-1] or "") // unit + row
+            yield batch.slice(at, len(found)), found
+            at += len(found)
+
+
 # ---------------------------------------------------------------- hashing
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _GOLD, materialise, mix, spread, text_column, words_of
+from .common import _GOLD, materialise, mix, slices, spread, text_column, words_of
 
 HEAD, ENDINGS = 64, 64  # endings: the low bits of a token
 WORDS, WORD_COUNT, MEMBERS = 1 << 15, 20, 256
@@ -56,19 +56,6 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words & ~_ENDING | endings, at[1:], END_TOKEN), at + np.arange(len(at))
 
 
-def _parts(batches: Iterator[pa.RecordBatch], column: int, most: int, unit: int = 1) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of the batches, and their column as a list, of about ``most`` units in its values."""
-    for batch in batches:
-        at = 0
-        while at < batch.num_rows:
-            values, size = [], 0
-            while at + len(values) < batch.num_rows and size <= most:
-                values.append(batch.column(column)[at + len(values)].as_py())
-                size += len(values[-1]) // unit + ROW
-            yield batch.slice(at, len(values)), values
-            at += len(values)
-
-
 # ---------------------------------------------------------------- counts
 
 
@@ -96,7 +83,7 @@ def count_tokens(training: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
-        for _, texts in _parts(batches, 0, TOGETHER):
+        for _, texts in slices(batches, 0, TOGETHER, ROW):
             held.append(counted(tokens(texts)[0]))
             size += len(held[-1][0])
             if size > HELD:
@@ -465,7 +452,7 @@ def fit(numbered: DataFrame, vocabulary: Vocabulary) -> list[np.ndarray]:
 
             task, v = TaskContext.get(), words.value
             trainer = Trainer(sent.value, v, 1000 * number + (task.partitionId() if task else 0))
-            for _, x in _parts(batches, 0, TOKENS, 2):
+            for _, x in slices(batches, 0, TOKENS, ROW, 2):
                 trainer.learn(*_symbols(x))
             if trainer.seen.any():
                 yield _rows(*parameter_rows(trainer.p, v, trainer.seen))
@@ -522,7 +509,7 @@ def number_tokens(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         from pyspark import TaskContext
 
         words, row = sent.value, TaskContext.get().partitionId() << 40
-        for part, texts in _parts(batches, 2, TOGETHER):
+        for part, texts in slices(batches, 2, TOGETHER, ROW):
             h, at = tokens(texts)
             symbol, logs, has = words.find(h)
             n, begin = np.diff(at), at[:-1]
@@ -566,8 +553,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     training documents every count is 0 and the model is the uniform one over rests. An empty table gives an empty result.
     """
     context = docs.sparkSession.sparkContext
-    rows = docs.select(docs[key].cast("long").alias("id"), held_out(docs[key].cast("long")).alias("held"), text_column(docs, text).alias("text"))
-    rows = spread(rows)
+    rows = spread(docs.select(docs[key].cast("long").alias("id"), held_out(docs[key].cast("long")).alias("held"), text_column(docs, text).alias("text")))
     counts = materialise(count_tokens(rows.where(~F.col("held"))), "counts")
     vocabulary = Vocabulary(counts)
     numbered = materialise(number_tokens(rows, vocabulary), "numbered")
@@ -575,7 +561,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, p = sent.value
-        for part, values in _parts(batches, 7, TOKENS, 2):
+        for part, values in slices(batches, 7, TOKENS, ROW, 2):
             symbols, at = _symbols(values)
             model = np.add.reduceat(log_probabilities(p, words, symbols, at), at[:-1]) / np.log(10) + part.column(6).to_numpy()
             yield pa.RecordBatch.from_arrays([*part.columns[:6], pa.array(model)], names=["row", "id", "held", "n", "known", "base", "model"])

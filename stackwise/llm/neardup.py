@@ -23,18 +23,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _GOLD, materialise, mix, shingle_hashes, text_column
+from .common import _GOLD, materialise, mix, shingle_hashes, slices, spread, text_column
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Two texts of similarity 0.8 miss all bands with probability (1 - 0.8**ROWS)**BANDS, 5e-5.
 BANDS, ROWS = 25, 5
-#: Nodes of a block: those that are compared, and the mates that they are compared with.
-PIVOTS, MATES = 64, 1024
-#: Numbers that a comparison of blocks works on at once.
-CELLS = 4_000_000
-#: Characters of text whose signatures are made together.
-TOGETHER = 2_000_000
+#: Nodes of a block: those that are compared, and the mates that they are compared with. A bucket of n unlike nodes sends n * n / 512 sets.
+PIVOTS, MATES = 1024, 1024
+#: Numbers that a comparison of blocks works on at once, and shingles of mates that it holds.
+CELLS, HELD = 4_000_000, 500_000
+#: Characters of text whose signatures are made together; a text counts for ROW of them at least, for its signature is of a fixed size.
+TOGETHER, ROW = 2_000_000, 2_000
+#: Tasks that a band's rows are dealt to in joins, so that a bucket that holds much of the table isn't one task's.
+SALTS = 16
 #: Tables of nodes of up to so many rows (24 bytes each) are broadcast, larger ones joined by shuffling.
 BROADCAST_ROWS = 500_000
 _SEED = np.uint64(0xD1B54A32D192ED03)
@@ -132,33 +134,21 @@ def node_of(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def _in_parts(rows: list[tuple], size_of) -> Iterator[list[tuple]]:
-    part, size = [], 0
-    for row in rows:
-        part.append(row)
-        size += size_of(row)
-        if size > TOGETHER:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
 def with_bands(docs: DataFrame, key: str, text: str) -> DataFrame:
     """id, node (MD5 of the text), bands (none for a text without words): the keys of both_keys, null where the second repeats the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _in_parts(list(zip(*(c.to_pylist() for c in batch.columns), strict=True)), lambda r: len(r[2])):
-                e, d, w = weighted([t for _, _, t in part])
-                has = np.bincount(d, minlength=len(part)) > 0
-                keys = both_keys(e, d, w, len(part))
-                new = keys[:, :BANDS] != keys[:, BANDS:]
-                keys = [[*k[:BANDS], *(x if y else None for x, y in zip(k[BANDS:], more, strict=True))] if any(more) else k[:BANDS] for k, more in zip(keys.tolist(), new.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"id": pa.array([i for i, _, _ in part], pa.int64()), "node": pa.array([n for _, n, _ in part], pa.binary()), "bands": pa.array([b if h else [] for b, h in zip(keys, has, strict=True)], pa.list_(pa.int64()))})
+        for part, texts in slices(batches, 2, TOGETHER, ROW):
+            e, d, w = weighted(texts)
+            keys = both_keys(e, d, w, len(texts))
+            has, new = np.bincount(d, minlength=len(texts)) > 0, keys[:, :BANDS] != keys[:, BANDS:]
+            wanted = np.repeat(np.stack([has, has & new.any(axis=1)], axis=1), BANDS, axis=1)
+            same = np.hstack([np.zeros_like(new), ~new])
+            offsets = np.concatenate([[0], np.cumsum(wanted.sum(axis=1))])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[wanted], mask=same[wanted]))], names=["id", "node", "bands"])
 
     t = text_column(docs, text)
-    return docs.select(docs[key].cast("long").alias("id"), node_of(t).alias("node"), t.alias("text")).mapInArrow(run, "id long, node binary, bands array<long>")
+    return spread(docs.select(docs[key].cast("long").alias("id"), node_of(t).alias("node"), t.alias("text"))).mapInArrow(run, "id long, node binary, bands array<long>")
 
 
 SETS = "node binary, hashes binary, weights binary, keys binary"
@@ -168,14 +158,12 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     """SETS of (node, text): sorted distinct shingle hashes, how often each occurs, and the band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _in_parts(list(zip(*(c.to_pylist() for c in batch.columns), strict=True)), lambda r: len(r[1])):
-                words = [t for _, t in part]
-                h, d, w = weighted(words)
-                at = np.searchsorted(d, np.arange(len(part) + 1))
-                keys = both_keys(h, d, w, len(part))
-                cut = list(zip(at[:-1], at[1:], strict=True))
-                yield pa.RecordBatch.from_pydict({"node": pa.array([n for n, _ in part], pa.binary()), "hashes": pa.array([h[i:j].tobytes() for i, j in cut], pa.binary()), "weights": pa.array([w[i:j].astype(np.int32).tobytes() for i, j in cut], pa.binary()), "keys": pa.array([k.tobytes() for k in keys], pa.binary())})
+        for part, words in slices(batches, 1, TOGETHER, ROW):
+            h, d, w = weighted(words)
+            at = np.searchsorted(d, np.arange(len(words) + 1))
+            keys = both_keys(h, d, w, len(words))
+            cut = list(zip(at[:-1], at[1:], strict=True))
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.binary()) for x in ([h[i:j].tobytes() for i, j in cut], [w[i:j].astype(np.int32).tobytes() for i, j in cut], [k.tobytes() for k in keys]))], names=["node", "hashes", "weights", "keys"])
 
     return texts.select("node", "text").mapInArrow(run, SETS)
 
@@ -232,7 +220,7 @@ class _Block:
         keys = np.array([m[3] for m in mates])
         sizes = np.array([len(m[2][0]) for m in mates])
         hashes, weights = np.concatenate([m[2][0] for m in mates]), np.concatenate([m[2][1] for m in mates])
-        starts = np.cumsum(sizes) - sizes
+        starts, owner, repeats = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(mates)), sizes), (weights > 1).any()
         while at < len(self.nodes):
             end, total = at, 0
             while end < len(self.nodes) and (end == at or (total + len(self.sets[end][0])) * (end + 1 - at) <= CELLS):
@@ -244,11 +232,18 @@ class _Block:
                 has[np.searchsorted(union, h), i] = 1
             place = np.minimum(np.searchsorted(union, hashes), len(union) - 1)
             place[union[place] != hashes] = len(union)
-            inside = has[place]
-            share = np.add.reduceat(inside, starts, axis=0) / sizes[:, None]
-            if (weights > 1).any():
-                inside *= weights[:, None]
-                share = np.maximum(share, np.add.reduceat(inside, starts, axis=0) / np.add.reduceat(weights, starts)[:, None])
+            found, heavy = np.zeros((len(mates), end - at)), np.zeros((len(mates), end - at))
+            step = max(1, CELLS // (end - at))
+            for a in range(0, len(hashes), step):  # a mate of many shingles adds up over several steps
+                inside, whose = has[place[a : a + step]], owner[a : a + step]
+                first = np.flatnonzero(np.concatenate([[True], whose[1:] != whose[:-1]]))
+                found[whose[first]] += np.add.reduceat(inside, first, axis=0)
+                if repeats:
+                    inside *= weights[a : a + step, None]
+                    heavy[whose[first]] += np.add.reduceat(inside, first, axis=0)
+            share = found / sizes[:, None]
+            if repeats:
+                share = np.maximum(share, heavy / np.add.reduceat(weights, starts, dtype=np.int64)[:, None])
             for m, i in np.argwhere(share >= self.least - 1e-9):
                 p = at + i
                 if names[p] != others[m] and not shared_before(keys[m], self.keys[p], band) and similar(self.sets[p], mates[m][2], self.least):
@@ -266,7 +261,7 @@ def compared(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     sizes = members.groupBy("band", "comp").agg(F.count("*").alias("k"))
     buckets = sizes.groupBy("band").agg(F.sum("k").alias("n"), F.max("k").alias("top"), F.max_by("comp", F.struct("k", "comp")).alias("largest"), F.count("*").alias("classes")).where("classes > 1")
     blocks, shares = F.ceil((F.col("n") - F.col("top")) / PIVOTS).cast("int"), F.ceil(F.col("n") / MATES).cast("int")
-    rows = members.join(buckets.select("band", "largest", blocks.alias("blocks"), shares.alias("shares")), "band")
+    rows = _with_band(members, buckets.select("band", "largest", blocks.alias("blocks"), shares.alias("shares")))
     dealt = F.pmod(F.xxhash64("node"), F.lit(1 << 30)).cast("int")
     mate = rows.select("band", "number", "node", "comp", (dealt % F.col("shares")).alias("share"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"))
     pivot = rows.where(F.col("comp") != F.col("largest")).select("band", "number", "node", "comp", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), (dealt % F.col("blocks")).alias("block"), F.lit(0).alias("kind"))
@@ -278,7 +273,7 @@ def compared(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         group, block, mates, size, number = None, _Block(least), [], 0, 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:3] != group or size * max(1, len(block.nodes)) > CELLS:
+                if row[:3] != group or size > HELD:
                     if mates and block.nodes and (good := block.compare(number, mates)):
                         yield _links(good)
                     mates, size = [], 0
@@ -296,6 +291,12 @@ def compared(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return stream.mapInArrow(run, "a binary, b binary")
 
 
+def _with_band(rows: DataFrame, bands: DataFrame) -> DataFrame:
+    """rows (band, node, ...) with the columns of their band's one row in bands, if it has one: each band's rows are dealt to SALTS tasks."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(bands.withColumn("_salt", salts), ["band", "_salt"]).drop("_salt")
+
+
 def _small(df: DataFrame) -> DataFrame:
     """df with a hint to broadcast it if it is small enough by count; larger tables are joined by shuffling."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
@@ -327,7 +328,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     nodes = materialise(rows.groupBy("node").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands")), "nodes")
     banded = nodes.select("node", "rep", F.posexplode("bands").alias("number", "band")).where("band is not null").withColumn("number", F.col("number") % BANDS)
     buckets = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    mates = materialise(banded.join(buckets, "band"), "mates")
+    mates = materialise(_with_band(banded, buckets), "mates")
     involved = materialise(mates.groupBy("node").agg(F.min("rep").alias("rep"), F.sum("n").alias("mates")), "involved")
     t = text_column(docs, text)
     texts = docs.select(node_of(t).alias("node"), docs[key].cast("long").alias("id"), t.alias("text"))
@@ -338,7 +339,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     sets = materialise(shingle_sets(texts), "sets")
 
     centre = mates.join(_small(involved).select("node", "mates"), "node").groupBy("band").agg(F.max_by("node", F.struct("mates", "node")).alias("a"))
-    pairs = mates.join(centre, "band").where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
+    pairs = _with_band(mates, centre).where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
     links = materialise(verified(pairs, sets, least), "links")
     found = components(links)
     members = mates.select("band", "number", "node").join(_small(found), "node", "left").select("band", "number", "node", F.coalesce("comp", "node").alias("comp"))

@@ -17,14 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _GOLD, materialise, mix, text_column
+from .common import _GOLD, materialise, mix, slices, spread, text_column
 
 #: Words are hashed into so many buckets: the model's size, whatever the corpus.
 BUCKETS = 1 << 14
 DIMENSIONS = 32
 #: Non-zero entries of an index vector, and neighbours on each side that count.
 NONZERO, REACH = 2, 2
-#: Labelled documents that the network learns from, at most: those with the least hashes of their ids.
+#: Labelled documents that the network learns from, at most: those with the least hashes of their ids and rows.
 TRAINING_ROWS = 30_000
 #: The share of those that the temperature is fitted on.
 CALIBRATION = 5
@@ -32,8 +32,8 @@ HIDDEN = 24
 EPOCHS, BATCH, RATE = 60, 128, 0.01
 THRESHOLD = 0.3
 FOLDS = 5
-#: Characters of text worked on together.
-TOGETHER = 1_000_000
+#: Characters of text worked on together; a text counts for ROW of them at least.
+TOGETHER, ROW = 1_000_000, 256
 
 _CLASS = np.zeros(256, dtype=np.uint8)  # 0 white space and controls, 1 a letter or digit (bytes above 127 too), 2 other characters
 _CLASS[33:127] = 2
@@ -88,22 +88,6 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, who
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list, list]]:
-    """Rows (as tuples of the other columns) and their texts, in parts of about TOGETHER characters."""
-    rows, texts, size = [], [], 0
-    for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        for row in zip(*columns, strict=True):
-            rows.append(row[:column] + row[column + 1 :])
-            texts.append(row[column])
-            size += len(row[column] or "")
-            if size > TOGETHER:
-                yield rows, texts
-                rows, texts, size = [], [], 0
-    if rows:
-        yield rows, texts
-
-
 def word_vectors(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Each bucket's vector (unit length) and weight, from the counts of its neighbours over all texts.
 
@@ -113,7 +97,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.nd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros(BUCKETS * DIMENSIONS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
-        for _, texts in _texts(batches, 0):
+        for _, texts in slices(batches, 0, TOGETHER, ROW):
             w, d = words(texts)
             seen += np.bincount(w, minlength=BUCKETS)
             for gap in range(1, REACH + 1):
@@ -127,7 +111,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.nd
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(seen[used]), *(pa.array(c) for c in table.T)], names=["bucket", "n", *(f"v{i}" for i in range(DIMENSIONS))])
 
     columns = [f"v{i}" for i in range(DIMENSIONS)]
-    parts = docs.select(text_column(docs, text).alias("text")).mapInArrow(run, "bucket int, n long, " + ", ".join(f"{c} long" for c in columns))
+    parts = spread(docs.select(text_column(docs, text).alias("text"))).mapInArrow(run, "bucket int, n long, " + ", ".join(f"{c} long" for c in columns))
     got = parts.groupBy("bucket").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in columns)).toPandas()
     vectors, counts = np.zeros((BUCKETS, DIMENSIONS)), np.zeros(BUCKETS)
     at = got["bucket"].to_numpy(dtype=np.int64)
@@ -156,12 +140,12 @@ def features(docs: DataFrame, vectors: np.ndarray, weights: np.ndarray, key: str
     sent = docs.sparkSession.sparkContext.broadcast((vectors, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in _texts(batches, 1):
+        for part, texts in slices(batches, 1, TOGETHER, ROW):
             x = pooled(texts, *sent.value)
             f = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), f], names=["id", "f"])
+            yield pa.RecordBatch.from_arrays([part.column(0), f], names=["id", "f"])
 
-    return docs.select(docs[key].cast("long").alias("id"), text_column(docs, text).alias("text")).mapInArrow(run, "id long, f array<float>")
+    return spread(docs.select(docs[key].cast("long").alias("id"), text_column(docs, text).alias("text"))).mapInArrow(run, "id long, f array<float>")
 
 
 class Network:
@@ -232,7 +216,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     found = materialise(features(docs, vectors, weights, key, text), "features")
     known = labels.select(labels[key].cast("long").alias("k"), labels[label].cast("double").alias("y")).where("k is not null and y is not null").groupBy("k").agg(F.avg("y").alias("y"))
     known = known.where(~held_out(F.col("k")))
-    sample = found.join(known, F.col("id") == F.col("k")).orderBy(F.xxhash64("id"), "id", "f").select("f", (F.col("y") >= 0.5).cast("int").alias("y")).limit(TRAINING_ROWS).collect()
+    # hashes of ids and rows' numbers, so that a repeated id is many; those under a bound are about as many as are wanted
+    labelled = found.withColumn("h", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(1 << 40))).join(known, F.col("id") == F.col("k"))
+    bound = int((1 << 40) * min(1.0, 1.1 * TRAINING_ROWS / max(1, labelled.count())))
+    sample = labelled.where(F.col("h") < bound).orderBy("h", "id").select("f", (F.col("y") >= 0.5).cast("int").alias("y")).limit(TRAINING_ROWS).collect()
     y = np.array([r["y"] for r in sample])
     if len(set(y)) < 2:
         return Model(vectors, weights, None, float(y.mean()) if len(y) else 1.0), found
@@ -267,7 +254,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         while at < len(texts):
             end, size = at, 0
             while end < len(texts) and size <= TOGETHER:
-                size += len(texts[end])
+                size += len(texts[end]) + ROW
                 end += 1
             out[at:end] = sent.value.scores(pooled(list(texts[at:end]), sent.value.vectors, sent.value.weights))
             at = end
