@@ -105,26 +105,34 @@ def _url_sql() -> str:
             ELSE greatest({f.WEAKEST}, least({f.STRONGEST}, m * (1 - m) / (v - m * (1 - m) / p) - 1)) END
           FROM (SELECT sum(g) / sum(n) AS m, sum(g * g / n) / sum(n) - (sum(g) / sum(n)) ^ 2 AS v, sum(n) / count(*) AS p FROM {children}))"""
 
+    def below(m: str, v: str, *strengths: str) -> str:
+        for k in strengths:
+            v = f"({v} + ({m} * (1 - {m}) - {v}) / ({k} + 1))"
+        return v
+
     return f"""
     WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-    parts AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    split AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                      regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+    parts AS (SELECT page_id, host, path, regexp_replace(string_split(host, '@')[-1], ':[0-9]*$', '') AS named FROM split),
+    placed AS (SELECT *, l[1] AS suffix, CASE WHEN len(l) > 1 THEN l[2] || '.' || l[1] ELSE l[1] END AS domain FROM (SELECT *, list_reverse(string_split(named, '.')) AS l FROM parts)),
     rules(says, name, prefix, rule) AS (VALUES {rules}),
     fits AS (SELECT DISTINCT host, path, rule, says FROM parts, rules WHERE (host = name OR ends_with(host, '.' || name)) AND starts_with(path, prefix)),
     best AS (SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(says, length(rule)) AS says FROM fits GROUP BY ALL),
     good AS (SELECT doc_id, CAST(min(CASE WHEN coalesce(quality, 0) = 1 AND coalesce(toxic, 0) <> 1 THEN 1 ELSE 0 END) AS DOUBLE) AS good FROM labels GROUP BY doc_id),
-    hosts AS (SELECT host, list_reverse(string_split(host, '.')) AS l, CAST(count(*) AS DOUBLE) AS n, sum(good) AS g FROM parts
-              JOIN good ON doc_id = TRY_CAST(nullif(regexp_extract(path, '/([0-9]{{1,18}})', 1), '') AS BIGINT) GROUP BY host),
-    named AS (SELECT host, n, g, l[1] AS suffix, CASE WHEN len(l) > 1 THEN l[2] || '.' || l[1] ELSE l[1] END AS domain FROM hosts),
-    domains AS (SELECT domain, any_value(suffix) AS suffix, sum(n) AS n, sum(g) AS g FROM named GROUP BY domain),
+    hosts AS (SELECT named, any_value(domain) AS domain, any_value(suffix) AS suffix, CAST(count(*) AS DOUBLE) AS n, sum(good) AS g FROM placed
+              JOIN good ON doc_id = TRY_CAST(nullif(regexp_extract(path, '/([0-9]{{1,18}})', 1), '') AS BIGINT) GROUP BY named),
+    domains AS (SELECT domain, any_value(suffix) AS suffix, sum(n) AS n, sum(g) AS g FROM hosts GROUP BY domain),
     suffixes AS (SELECT suffix, sum(n) AS n, sum(g) AS g FROM domains GROUP BY suffix),
-    k AS (SELECT (SELECT sum(g) / sum(n) FROM suffixes) AS m, {strength('suffixes')} AS ks, {strength('domains')} AS kd, {strength('named')} AS kh),
-    ms AS (SELECT suffix, (g + m * ks) / (n + ks) AS ms FROM suffixes, k),
-    md AS (SELECT domain, (g + ms * kd) / (n + kd) AS md FROM domains JOIN ms USING (suffix), k),
-    mh AS (SELECT host, n, (g + md * kh) / (n + kh) AS mean, kh FROM named JOIN md USING (domain), k)
-    SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.says, CASE WHEN mean + {f.Z} * sqrt(mean * (1 - mean) / (n + kh + 1)) < {f.CUT} THEN 'block' ELSE 'allow' END) AS verdict,
-           CAST(coalesce(n, 0) AS BIGINT) AS labelled
-    FROM parts p LEFT JOIN best b ON b.host = p.host AND b.path = p.path LEFT JOIN mh ON mh.host = p.host"""
+    k AS (SELECT (SELECT sum(g) / sum(n) FROM suffixes) AS m, (SELECT sum(n) FROM suffixes) AS nn, {strength('suffixes')} AS ks, {strength('domains')} AS kd, {strength('hosts')} AS kh),
+    ms AS (SELECT suffix, n AS ns, (g + m * ks) / (n + ks) AS ms FROM suffixes, k),
+    md AS (SELECT domain, n AS nd, (g + ms * kd) / (n + kd) AS md FROM domains JOIN ms USING (suffix), k),
+    mh AS (SELECT named, n, (g + md * kh) / (n + kh) AS mh FROM hosts JOIN md USING (domain), k),
+    judged AS (SELECT p.page_id, p.host, p.path, n, coalesce(mh, md, ms, m) AS mean,
+        coalesce(mh * (1 - mh) / (n + kh + 1), {below('md', 'md * (1 - md) / (nd + kd + 1)', 'kh')}, {below('ms', 'ms * (1 - ms) / (ns + ks + 1)', 'kd', 'kh')}, {below('m', 'm * (1 - m) / (nn + 1)', 'ks', 'kd', 'kh')}) AS variance
+        FROM placed p LEFT JOIN mh ON mh.named = p.named LEFT JOIN md ON md.domain = p.domain LEFT JOIN ms ON ms.suffix = p.suffix, k)
+    SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.says, CASE WHEN mean + {f.Z} * sqrt(variance) < {f.CUT} THEN 'block' ELSE 'allow' END) AS verdict, CAST(coalesce(n, 0) AS BIGINT) AS labelled
+    FROM judged p LEFT JOIN best b ON b.host = p.host AND b.path = p.path"""
 
 
 def oracle_sql() -> dict[str, str]:

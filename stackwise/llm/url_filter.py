@@ -40,6 +40,11 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]] =
     return rule, verdict
 
 
+def named_host(host: Column) -> Column:
+    """The host's name alone, by which outcomes are counted: without a user part and a port."""
+    return F.regexp_replace(F.substring_index(host, "@", -1), ":[0-9]*$", "")
+
+
 def host_levels(host: Column) -> tuple[Column, Column]:
     """Registered domain (the last two labels) and suffix (the last label) of a host."""
     return F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
@@ -116,25 +121,25 @@ def judge_pages(pages: DataFrame, outcomes: DataFrame, key: str = "page_id", url
     ``outcomes`` has host, good (0/1) and n. Without a fitting rule, a page is blocked if mean + z deviations of its host's
     posterior stay under ``cut``, else allowed. A host without labelled pages is judged by its domain's labelled pages, else
     its suffix's, else all (an empty host, too); labelled is 0 then. If nothing is labelled at all, such pages are allowed.
-    Null urls: empty host and path. Repeated rows are judged alike, each by itself.
+    Reputations go by the host's name without user part and port. Null urls: empty host and path. Repeated rows are judged alike, each by itself.
     """
     host, path = split_url(F.col("url"))
-    base = pages.select(pages[key].alias(key), pages[url].cast("string").alias("url")).select(key, host.alias("host"), path.alias("path"))
+    base = pages.select(pages[key].alias(key), pages[url].cast("string").alias("url")).select(key, host.alias("host"), path.alias("path")).withColumn("named", named_host(F.col("host")))
     rule, says = longest_rule(F.col("host"), F.col("path"), rules)
-    domain, suffix = host_levels(F.col("host"))
+    domain, suffix = host_levels(F.col("named"))
     hosts, domains, suffixes, (mean, deviation) = _levels(outcomes)
-    judged = base.withColumns({"rule": rule, "says": says, "domain": domain, "suffix": suffix}).join(_small(hosts), "host", "left").join(_small(domains), "domain", "left").join(_small(suffixes), "suffix", "left")
+    judged = base.withColumns({"rule": rule, "says": says, "domain": domain, "suffix": suffix}).join(_small(hosts.withColumnRenamed("host", "named")), "named", "left").join(_small(domains), "domain", "left").join(_small(suffixes), "suffix", "left")
     mean, deviation = F.coalesce("mean", "md", "ms", F.lit(mean)), F.coalesce("deviation", "dd", "ds", F.lit(deviation))
     verdict = F.coalesce(F.col("says"), F.when(mean + F.lit(z) * deviation < F.lit(cut), F.lit("block")).otherwise(F.lit("allow")))
     return judged.select(key, "host", "path", "rule", verdict.alias("verdict"), mean.alias("reputation"), deviation.alias("deviation"), F.coalesce("pages", F.lit(0)).cast("long").alias("labelled"))
 
 
 def outcomes_of(pages: DataFrame, labels: DataFrame, url: str = "url") -> DataFrame:
-    """Labelled page outcomes (host, good, n): the path's first number names the document that the page shows.
+    """Labelled page outcomes (named host, good, n): the path's first number names the document that the page shows.
 
     A document is good if its quality is 1 and it isn't toxic; of repeated labels the worst counts.
     """
     host, path = split_url(F.col("url"))
-    shown = pages.select(pages[url].cast("string").alias("url")).select(host.alias("host"), F.regexp_extract(path, r"/([0-9]{1,18})", 1).alias("id")).where("id <> ''")
+    shown = pages.select(pages[url].cast("string").alias("url")).select(named_host(host).alias("host"), F.regexp_extract(path, r"/([0-9]{1,18})", 1).alias("id")).where("id <> ''")
     good = labels.groupBy(labels["doc_id"].alias("id")).agg(F.min(F.when((F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) != 1), 1).otherwise(0)).alias("good"))
     return shown.withColumn("id", F.col("id").cast("long")).join(good, "id").groupBy("host", "good").agg(F.count("*").alias("n"))

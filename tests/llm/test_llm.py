@@ -349,11 +349,27 @@ def test_fingerprints(spark, docs, odd_rows, none, monkeypatch):
     assert all(0 <= r[c] <= 1 for r in rows for c in ("near_edited", "near_next", "contained_edited", "contained_next"))
     by = {r["doc_id"]: r for r in rows}
     assert by[1]["fingerprint"] == by[2]["fingerprint"] and by[4]["fingerprint"] == by[5]["fingerprint"] == "" and by[2]["near_next"] == 1
+    for i, (r, t) in enumerate(zip(order, texts, strict=True)):  # brute force, of documents whose id is theirs alone
+        if r[0] is not None and sum(x[0] == r[0] for x in order) == 1:
+            f = texts[(i + 1) % len(texts)]
+            full = [{int(h) for h in common.shingle_hashes([x])[0]} for x in (t, fingerprint.edited(t, f), f)]
+            kept = [{h for h in s if h < (1 << 64) // fingerprint.SCALE} for s in full]
+            assert by[r[0]]["fingerprint"] == "".join(f"{h:016x}" for h in sorted(kept[0])) and by[r[0]]["edited_fingerprint"] == "".join(f"{h:016x}" for h in sorted(kept[1]))
+            for name, k in (("near_edited", 1), ("near_next", 2)):
+                a, b = (kept if kept[0] and kept[k] else full)[0], (kept if kept[0] and kept[k] else full)[k]
+                assert by[r[0]][name] == pytest.approx(len(a & b) / len(a | b) if a or b else 1)
     assert fingerprint.fingerprint_pairs(none).count() == 0
     one = fingerprint.fingerprint_pairs(spark.createDataFrame([(1, "abcdef", "en", "s", 6)], DOCS)).first()
     assert one["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest()
 
 
+def test_keys_without_a_pattern_fall_into_their_ranges(spark):
+    bounds = [1 << 40, 977, 976, 5, -3]
+    keys = [*bounds, 1 << 41, 978, 6, 4, -2, -4, -(1 << 50)]
+    rows = spark.createDataFrame([(k,) for k in keys], "id long").select("id", fingerprint._above(F.col("id"), bounds).alias("n")).collect()
+    assert {r["id"]: r["n"] for r in rows} == {k: sum(b > k for b in bounds) for k in keys}
+
+
 def test_sketches_estimate_and_merge():
     a, b = prose(1, 3000), prose(2, 300)
     sa, sb, both = fingerprint.sketches([a, b, a + " " + b])
@@ -426,6 +442,24 @@ def test_hosts_without_labels_are_judged_by_domain_suffix_or_all(spark):
     assert {r["verdict"] for r in url_filter.judge_pages(pages, worse).where("page_id > 3").collect()} == {"block"}
 
 
+def test_url_sql_on_hosts_without_labels(spark, tmp_path):
+    """The registered query and its SQL on hosts with ports, users, and labelled pages only at their domain, suffix or nowhere."""
+    rnd = random.Random(4)
+    hosts = [f"h{i}.{d}.{s}" for i in range(12) for d in ("bad", "good", f"d{i}") for s in ("com", "zip")] + ["", "x", "u:p@h1.bad.com:8080", "H2.bad.com:", "new.bad.com", "new.bad.com:81", "new.good.com", "a.new.zip", "a.new.info"]
+    urls = [f"http://{h}/p/{(200 if 'good' in h else 0) + rnd.randrange(200 if 'd' in h else 400) if k % 3 else 'none'}" for h in hosts for k in range(9)] + [None, "none", "://"]
+    pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    labels = spark.createDataFrame([(i, None if i % 50 == 0 else int(i % 7 > 3 or i >= 200), int(i % 31 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    db = duckdb.connect()
+    for t in ("pages", "labels"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    names = ["page_id", "host", "path", "rule", "verdict", "labelled"]
+    want = db.execute(f"SELECT {', '.join(names)} FROM ({queries.oracle_sql()['op8_url_filter']}) ORDER BY page_id").fetchall()
+    got = [tuple(r) for r in queries.op8_url_filter(spark, str(tmp_path)).select(names).orderBy("page_id").collect()]
+    assert got == want and {r[4] for r in got} == {"allow", "block"}
+
+
 # ---------------------------------------------------------------- 9 near duplicates
 
 
