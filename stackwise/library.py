@@ -91,9 +91,10 @@ class Library:
     def scan(self, root: str, with_text: bool = True, now: float | None = None) -> dict:
         """Scans a folder into the next snapshot; returns the counters."""
         snapshot, found = scan.scan(self.spark, root, self.catalog, time.time() if now is None else now, with_text)
-        counts = facets.scan_counters(found.withColumn("scan_error", F.lit(""))).first().asDict()
+        found = found.select("path", "action", "remote_due")
         self.publish(snapshot)
-        return counts
+        read = found.where("action = 'index'").select("path").join(self.catalog.select("path", "scan_error"), "path")
+        return facets.scan_counters(found.join(read, "path", "left")).first().asDict()
 
     def share_copies(self, now: float | None = None) -> int:
         """Copies what was looked up to identical files; returns how many rows changed."""

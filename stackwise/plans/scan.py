@@ -56,7 +56,7 @@ def extract(spark: SparkSession, chosen: DataFrame, listing: DataFrame, root: st
     with_content = readers.contents(spark, chosen, root)
     raw = with_content.withColumn("own", readers.reader_column(F.col("content"), F.col("ext"), with_text)).drop("content")
     side = files.sidecars(listing)
-    opf = readers.contents(spark, side.where("opf is not null").select(F.col("opf").alias("path")).distinct(), root)
+    opf = readers.contents(spark, side.where("opf is not null").select(F.col("opf").alias("path")).distinct(), root).drop("unread")
     opf = opf.select(F.col("path").alias("opf"), F.regexp_replace("path", r"/[^/]*\z", "").alias("opf_dir"), readers.opf_column(F.col("content")).alias("side"))
     out = raw.join(side, "path", "left").join(opf, "opf", "left")
     guess = classify.guess_from_filename(F.col("filename"))
@@ -82,7 +82,7 @@ def extract(spark: SparkSession, chosen: DataFrame, listing: DataFrame, root: st
     cover = F.when(text("cover_path") != "", F.when(text("cover_path").startswith("/"), text("cover_path")).otherwise(F.concat("opf_dir", F.lit("/"), text("cover_path")))).otherwise(F.coalesce("cover", F.lit("")))
     out = out.withColumns({"tags": tags.merge_tags(subjects, inferred), "cover_path": cover})
     out = out.withColumn("description", F.when(F.col("description") == "", t.simple_description(F.col("title"), F.col("authors"), F.col("tags"), F.col("ext"))).otherwise(F.col("description")))
-    return out.select("path", "title", "authors", "description", *(text(c).alias(c) for c in ("language", "publisher", "published_year", "isbn", "scan_error")), "cover_path", F.lit("local").alias("source"), "tags")
+    return out.select("path", "title", "authors", "description", *(text(c).alias(c) for c in ("language", "publisher", "published_year", "isbn")), F.coalesce("unread", text("scan_error")).alias("scan_error"), "cover_path", F.lit("local").alias("source"), "tags")
 
 
 def scan(spark: SparkSession, root: str, catalog: DataFrame, now: float, with_text: bool = True) -> tuple[DataFrame, DataFrame]:

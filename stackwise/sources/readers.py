@@ -256,6 +256,13 @@ def plain_text_fields(text: Column) -> Column:
 
 
 def contents(spark, listing: DataFrame, paths: list[str] | str, limit: int = 1 << 26) -> DataFrame:
-    """path and content of the files below paths that the listing has (files above ``limit`` bytes: no content)."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select(F.regexp_replace("path", r"^file:/+", "/").alias("path"), F.when(F.col("length") <= limit, F.col("content")).alias("content"))
+    """path and content of the files below paths that the listing has, and ``unread``, an error in place of the content.
+
+    Formats that are read from their beginning have that much of a file above ``limit`` bytes; others of that size aren't
+    read, for a task holds several contents, and say so.
+    """
+    fits, prefix = F.col("length") <= limit, F.lower("path").rlike(r"\.(txt|md|rtf|mobi|azw|azw3)$")
+    content = F.when(fits, F.col("content")).when(prefix, F.substring("content", 1, t.READ_BYTES))
+    unread = F.when(~fits & ~prefix, F.concat(F.lit("not read, it is too large: "), F.col("length").cast("string"), F.lit(" bytes")))
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select(F.regexp_replace("path", r"^file:/+", "/").alias("path"), content.alias("content"), unread.alias("unread"))
     return listing.join(raw, "path", "left")

@@ -9,6 +9,7 @@ import os
 import duckdb
 import pytest
 
+from stackwise.plans import row_queries  # noqa: F401  registers its queries
 from stackwise.plans.queries import ORACLE, QUERIES
 
 DIR = "/root/testdata/sf0.001"
