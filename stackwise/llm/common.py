@@ -23,9 +23,12 @@ CHUNK_BYTES = 1 << 21
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); where none is set (tests), a folder of our own."""
+    """The folder that the cluster shares (``spark.checkpoint.dir``); where none is set, a folder of our own if all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="stackwise-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

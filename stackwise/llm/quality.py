@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -249,15 +248,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """The rows of docs whose text scores ``least`` or more, unchanged. Each row is judged by its own text, without a shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, key, text, label)[0])
 
-    def score(texts: pd.Series) -> pd.Series:
-        out, at = np.empty(len(texts)), 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and size <= TOGETHER:
-                size += len(texts[end]) + ROW
-                end += 1
-            out[at:end] = sent.value.scores(pooled(list(texts[at:end]), sent.value.vectors, sent.value.weights))
-            at = end
-        return pd.Series(out)
-
-    return docs.where(F.pandas_udf(score, T.DoubleType())(text_column(docs, text)) >= least)
+    def score(texts: pa.Array) -> pa.Array:
+        batch, model = pa.RecordBatch.from_arrays([texts], names=["text"]), sent.value
+        found = [model.scores(pooled(part, model.vectors, model.weights)) for _, part in slices(iter([batch]), 0, TOGETHER, ROW)]
+        return pa.array(np.concatenate([np.zeros(0), *found]))
+
+    return docs.where(F.arrow_udf(score, T.DoubleType())(text_column(docs, text)) >= least)
