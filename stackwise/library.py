@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import time
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import copies, enrich, facets, jobs, merge, operations, search
+from .operators.backoff import Backoff
 from .plans import repair, scan
 from .schema import CATALOG
 from .sources import files
@@ -21,11 +23,24 @@ def lookups_disabled() -> bool:
     return os.environ.get(LOOKUPS_OFF, "").strip().lower() in YES
 
 
+def as_json(answer) -> str:
+    """An answer to a request as JSON text. A frame in it is the list of its rows with all their fields, so it has to be
+    a page, a facet or a preview, which are small; a table is written by Spark instead."""
+
+    def rows(x) -> list:
+        if not isinstance(x, DataFrame):
+            raise TypeError(f"no JSON for {type(x).__name__}")
+        text = x.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row"))
+        return [json.loads(r["row"]) for r in text.collect()]
+
+    return json.dumps(answer, ensure_ascii=False, default=rows)
+
+
 class Library:
-    """A catalog whose snapshots lie below ``folder``, in any store that Spark reads and writes."""
+    """A catalog whose snapshots lie below ``folder``, in any store that Spark reads and writes; ``backoff`` pauses lookups."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, backoff: Backoff | None = None):
+        self.spark, self.folder, self.backoff = spark, folder.rstrip("/"), backoff
 
     def versions(self) -> list[int]:
         """Complete snapshots, oldest first."""
@@ -79,9 +94,9 @@ class Library:
         return search.resolve_selection(self.catalog, self.book_tags, request)
 
     def due(self, now: float | None = None, limit: int | None = None) -> DataFrame:
-        """Ids to look up; none if lookups are turned off."""
+        """Ids to look up; none if lookups are turned off or pause."""
         out = enrich.select_due(self.catalog, time.time() if now is None else now, limit)
-        return out.limit(0) if lookups_disabled() else out
+        return out.limit(0) if lookups_disabled() or (self.backoff and self.backoff.status()["active"]) else out
 
     def invariants(self, root: str | None = None) -> DataFrame:
         return repair.invariants(self.catalog, self.book_tags, files.list_files(self.spark, root) if root else None)
@@ -123,12 +138,15 @@ class Library:
         return operations.freeze(self.catalog, ids, files.list_files(self.spark, root), time.time() if now is None else now)
 
     def execute(self, batch: dict, items: DataFrame, confirm: str, root: str, state_folder: str, quarantine: str, now: float | None = None) -> tuple[dict, DataFrame]:
-        """Carries a frozen deletion out and marks the moved rows."""
-        at = time.time() if now is None else now
-        done, after = operations.execute(batch, items, self.catalog, files.list_files(self.spark, root), confirm, state_folder, quarantine, at)
-        if done["status"] != "rejected":
-            self.publish(operations.quarantined(self.catalog, after, at))
-        return done, after
+        """Carries a frozen deletion out and marks the moved rows; the files go back if the catalog has changed meanwhile."""
+        at, version = time.time() if now is None else now, (self.versions() or [0])[-1]
+        catalog = self.catalog
+
+        def commit(after: DataFrame) -> None:
+            """The snapshot right after the one that was checked: fails if another writer was faster."""
+            scan.publish(operations.quarantined(catalog, after, at).select(CATALOG.names), self.folder, version + 1)
+
+        return operations.execute(batch, items, catalog, files.list_files(self.spark, root), confirm, state_folder, quarantine, at, commit)
 
     def copy_out(self, ids: list[int], folder: str) -> dict:
         return operations.copy_out(search.in_request_order(self.catalog, ids), folder)

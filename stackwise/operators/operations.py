@@ -6,7 +6,7 @@ import json
 import os
 import shutil
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from ..functions import text as t
 TOLERANCE = 0.001
 KIND = "safe_delete"
 MISSING, NOT_FILE, SIZE, MTIME, RECORD, DRIFT = "文件不存在", "源路径不是文件", "文件大小变化", "文件修改时间变化", "记录不存在", "索引状态变化"
+MOVED_BACK, STUCK = "数据库记录已变化，文件已回移，操作停止", "数据库状态变化且文件回移失败"
 
 
 def phrase(count: int) -> str:
@@ -108,11 +109,32 @@ def claim(folder: str, operation: str) -> bool:
         return False
 
 
-def execute(batch: dict, items: DataFrame, catalog: DataFrame, listing: DataFrame, confirm: str, state_folder: str, quarantine: str, now: float) -> tuple[dict, DataFrame]:
+def _move_back(moved: dict) -> str:
+    """Moves a file back to where it was; why that failed, '' if it didn't."""
+    try:
+        if os.path.exists(moved["original_path"]):
+            raise FileExistsError(moved["original_path"])
+        os.makedirs(os.path.dirname(moved["original_path"]), exist_ok=True)
+        shutil.move(moved["quarantine_path"], moved["original_path"])
+        return ""
+    except OSError as e:
+        return f"{STUCK}：{e}"[:500]
+
+
+def _with_outcome(items: DataFrame, outcome: list[tuple]) -> DataFrame:
+    """items with what became of them (book_id, status, quarantine_path, error); the others as they are."""
+    done = items.sparkSession.createDataFrame(outcome, "book_id long, new_status string, new_path string, new_error string")
+    new = {"status": "new_status", "quarantine_path": "new_path", "error": "new_error"}
+    return items.join(F.broadcast(done), "book_id", "left").select(*(F.coalesce(new[c], items[c]).alias(c) if c in new else items[c] for c in items.columns))
+
+
+def execute(batch: dict, items: DataFrame, catalog: DataFrame, listing: DataFrame, confirm: str, state_folder: str, quarantine: str, now: float, commit: Callable[[DataFrame], object] | None = None) -> tuple[dict, DataFrame]:
     """Moves a pending batch's files below ``quarantine``; returns the batch as it is then, and the items with their outcome.
 
     Anything that has changed since the preview rejects the batch before a file is moved. The moves are made by the driver
-    in order; the first that fails ends them. A manifest of the moved files is written beside them.
+    in order; the first that fails ends them. ``commit`` gets the items with their outcome and updates the catalog, whose
+    snapshots are written whole: if it fails, all files of the batch go back. A manifest of the files that stay moved is
+    written beside them.
     """
     if batch["kind"] != KIND or batch["status"] != "pending":
         raise ValueError(f"安全删除操作当前状态不可执行：{batch['status']}")
@@ -141,12 +163,19 @@ def execute(batch: dict, items: DataFrame, catalog: DataFrame, listing: DataFram
             break
         outcome.append((r["book_id"], "moved", target, ""))
         manifest.append({"id": r["book_id"], "title": r["title"], "original_path": r["path"], "quarantine_path": target, "size": r["size"], "mtime": r["mtime"]})
+    if commit and manifest:
+        try:
+            commit(_with_outcome(items, outcome))
+        except Exception as e:  # noqa: BLE001  whatever kept the catalog from being written, files must not stay where it doesn't know them
+            error = f"{MOVED_BACK}：{e}"[:500]
+            stuck = {m["id"]: _move_back(m) for m in reversed(manifest)}
+            manifest = [m for m in manifest if stuck[m["id"]]]
+            left = {m["id"]: m["quarantine_path"] for m in manifest}
+            outcome = [(i, "failed", left.get(i, ""), stuck.get(i, why) or error) for i, _, _, why in outcome]
     os.makedirs(quarantine, exist_ok=True)
     with open(os.path.join(quarantine, "manifest.json"), "w", encoding="utf-8") as f:
         json.dump(manifest, f, ensure_ascii=False, indent=2)
-    done = items.sparkSession.createDataFrame(outcome, "book_id long, new_status string, new_path string, new_error string")
-    new = items.join(F.broadcast(done), "book_id", "left").select(*(F.coalesce(c, items[o]).alias(o) if c else items[o] for o, c in ((o, {"status": "new_status", "quarantine_path": "new_path", "error": "new_error"}.get(o)) for o in items.columns)))
-    return batch | {"status": "failed" if error else "completed", "started_at": now, "completed_at": now, "output_path": quarantine, "error": error}, new
+    return batch | {"status": "failed" if error else "completed", "started_at": now, "completed_at": now, "output_path": quarantine, "error": error}, _with_outcome(items, outcome)
 
 
 def quarantined(catalog: DataFrame, items: DataFrame, now: float) -> DataFrame:

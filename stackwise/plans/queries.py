@@ -94,9 +94,15 @@ def _any_field(terms: list[str]) -> str:
     return "(" + " OR ".join(has_sql(f, terms) for f in _VARIANT_FIELDS.values()) + ")"
 
 
-@query(f"SELECT id, title, {rank_sql([*_LU_XUN, *_NE_HAN], _VARIANT_FIELDS)} AS rank FROM {values_sql(_BOOKS, 'id, title, authors, filename')} WHERE {_any_field(_LU_XUN)} AND {_any_field(_NE_HAN)}")
+#: Parts as books of that author or title, in several spellings.
+_SPELT = "p_partkey + 100 AS id, CASE p_partkey % 4 WHEN 0 THEN '呐喊 ' || p_name WHEN 1 THEN '吶喊' ELSE p_name END AS title, CASE p_partkey % 3 WHEN 0 THEN 'Lu Xun' WHEN 1 THEN '魯迅' ELSE p_brand END AS authors, CASE p_partkey % 5 WHEN 0 THEN 'ne han ' ELSE '' END || p_partkey || '.txt' AS filename"
+
+
+@query(f"""SELECT id, title, {rank_sql([*_LU_XUN, *_NE_HAN], _VARIANT_FIELDS)} AS rank FROM (SELECT * FROM {values_sql(_BOOKS, 'id, title, authors, filename')} UNION ALL SELECT {_SPELT} FROM part)
+    WHERE {_any_field(_LU_XUN)} AND {_any_field(_NE_HAN)}""")
 def search_variant_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    books = views.evolve(values(spark, _BOOKS, "id long, title string, authors string, filename string"))
+    spelt = table(spark, sf_dir, "part").selectExpr(*_SPELT.split(", "))
+    books = views.evolve(values(spark, _BOOKS, "id long, title string, authors string, filename string").unionByName(spelt))
     return search.filtered(books, None, SearchSpec("鲁迅 呐喊")).select("id", "title", search.rank("鲁迅 呐喊", {f: F.col(f) for f in search.SEARCHED}).alias("rank"))
 
 
@@ -286,9 +292,14 @@ def tag_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MERGED = [(1, "小说,社科,fiction", "历史,小说", "小说,历史"), (2, "未分类,x", "", ""), (3, "历史,科幻,推理,玄幻", "经济,金融,管理", "历史,科幻,推理,玄幻,经济,金融"), (4, "social", "travel,旅行", "社科,旅行")]
 
 
-@query(f"SELECT id, expected AS tags FROM {values_sql(_MERGED, 'id, a, b, expected')}")
+#: Two sets of tags of each part, one with an unknown name.
+_TWO_SETS = "p_partkey + 100 AS id; CASE p_partkey % 3 WHEN 0 THEN '小说' WHEN 1 THEN '历史' ELSE '社科' END AS a; CASE p_size % 3 WHEN 0 THEN '历史' WHEN 1 THEN '小说' ELSE 'x' END AS b"
+
+
+@query(f"""SELECT id, expected AS tags FROM {values_sql(_MERGED, 'id, a, b, expected')}
+    UNION ALL SELECT id, CASE WHEN a = '社科' AND b = '小说' THEN b WHEN b = 'x' OR a = b THEN a ELSE a || ',' || b END FROM (SELECT {_TWO_SETS.replace(';', ',')} FROM part)""")
 def tag_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, _MERGED, "id int, a string, b string, expected string")
+    rows = values(spark, _MERGED, "id long, a string, b string, expected string").drop("expected").unionByName(table(spark, sf_dir, "part").selectExpr(*_TWO_SETS.split("; ")))
     return rows.select("id", F.array_join(tags.merge_tags(F.split("a", ","), F.split("b", ",")), ",").alias("tags"))
 
 
@@ -300,9 +311,12 @@ _REFINED = [
 ]
 
 
-@query(f"SELECT id, expected AS tags FROM {values_sql(_REFINED, 'id, title, authors, description, had, expected')}")
+@query(f"""SELECT id, expected AS tags FROM {values_sql(_REFINED, 'id, title, authors, description, had, expected')}
+    UNION ALL SELECT p_partkey + 100, CASE p_partkey % 3 WHEN 0 THEN '小说' WHEN 1 THEN '旅行' ELSE '传记,旅行' END FROM part""")
 def tag_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, _REFINED, "id int, title string, authors string, description string, had string, expected string")
+    """Parts, too: history without evidence in a novel's title, a biography without and with evidence."""
+    parts = table(spark, sf_dir, "part").selectExpr("p_partkey + 100 AS id", "CASE p_partkey % 3 WHEN 2 THEN p_name || '自传' ELSE p_name END AS title", "p_brand AS authors", "'' AS description", "CASE p_partkey % 3 WHEN 0 THEN '小说,历史' ELSE '传记,旅行' END AS had")
+    rows = values(spark, _REFINED, "id long, title string, authors string, description string, had string, expected string").drop("expected").unionByName(parts)
     return rows.select("id", F.array_join(tags.refine_tags(F.col("title"), F.col("authors"), F.col("description"), F.split("had", ",")), ",").alias("tags"))
 
 
@@ -332,10 +346,13 @@ def suspicious_author(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FILENAMES = [("《活着》作者：余华.txt", "活着", "余华"), ("lu xun - ne han.txt", "呐喊", "鲁迅"), ("ne_han.txt", "呐喊", ""), ("三体（刘慈欣）.epub", "三体", "刘慈欣"), ("Deep Work - Newport, Cal.pdf", "Newport, Cal", "Deep Work"), ("[图书]边城 v1.2.mobi", "边城", ""), ("围城-未知.txt", "围城", ""), ("part-7.txt", "7", "part")]
 
 
-@query(f"SELECT filename, title, author FROM {values_sql(_FILENAMES, 'filename, title, author')}")
+@query(f"""SELECT filename, title, author FROM {values_sql(_FILENAMES, 'filename, title, author')}
+    UNION ALL SELECT CASE WHEN p_partkey % 2 = 0 THEN '《' || p_name || ' ' || p_partkey || '》作者：余华.txt' ELSE 'part-' || p_partkey || '.txt' END, CASE WHEN p_partkey % 2 = 0 THEN p_name || ' ' || p_partkey ELSE CAST(p_partkey AS VARCHAR) END, CASE WHEN p_partkey % 2 = 0 THEN '余华' ELSE 'part' END FROM part WHERE p_partkey <> 7""")
 def guess_title_author(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names of all parts but the one that is among the values."""
     g = classify.guess_from_filename(F.col("filename"))
-    return values(spark, [(f,) for f, _, _ in _FILENAMES], "filename string").select("filename", g["title"].alias("title"), g["author"].alias("author"))
+    parts = table(spark, sf_dir, "part").where("p_partkey <> 7").select(F.expr("CASE WHEN p_partkey % 2 = 0 THEN '《' || p_name || ' ' || p_partkey || '》作者：余华.txt' ELSE 'part-' || p_partkey || '.txt' END").alias("filename"))
+    return values(spark, [(f,) for f, _, _ in _FILENAMES], "filename string").unionByName(parts).select("filename", g["title"].alias("title"), g["author"].alias("author"))
 
 
 # ---------------------------------------------------------------- merge, copies, repair
@@ -450,18 +467,28 @@ _ASKERS = [(1, "活着", "余华"), (2, "活着", "余华"), (3, "", ""), (4, "
 _FOUND = [(1, "活着", "https://x/2/", "7.1", "已获取"), (2, "", "", "", "未找到"), (3, "", "", "", "缺少书名"), (4, "《呐喊》", "https://x/4/", "", "无评分"), (5, "围城", "u6", "8.0", "已获取")]
 
 
-@query(f"SELECT id, title, douban_url, douban_rating, douban_rating_status FROM {values_sql(_FOUND, 'id, title, douban_url, douban_rating, douban_rating_status')}")
+@query(f"""SELECT id, title, douban_url, douban_rating, douban_rating_status FROM {values_sql(_FOUND, 'id, title, douban_url, douban_rating, douban_rating_status')}
+    UNION ALL SELECT p_partkey + 100, CASE WHEN untitled THEN '' WHEN even THEN upper(p_name) ELSE p_name END, CASE WHEN untitled THEN '' WHEN even THEN 'c' ELSE 'b' END, CASE WHEN untitled OR p_partkey % 4 = 0 THEN '' WHEN even THEN '8.0' ELSE '7.1' END,
+      CASE WHEN untitled THEN '缺少书名' WHEN p_partkey % 4 = 0 THEN '无评分' ELSE '已获取' END FROM (SELECT *, p_partkey % 2 = 0 AS even, p_partkey % 5 = 0 AS untitled FROM part)""")
 def identity_match_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    candidates = values(spark, _CANDIDATES, "id int, pos int, title string, rating string, cast string, summary string, url string")
-    return enrich.identity_match(values(spark, _ASKERS, "id int, title string, authors string"), candidates).drop("description")
+    """Parts, too: three candidates each, of another title, of the same, and for every other part of the same by its maker."""
+    part = table(spark, sf_dir, "part").withColumn("id", F.col("p_partkey") + 100)
+    asked = part.select("id", F.expr("if(p_partkey % 5 = 0, ' ', p_name)").alias("title"), F.col("p_brand").alias("authors"))
+    three = "inline(array(named_struct('pos', 0, 'title', p_name || ' x', 'rating', '9.9', 'cast', p_brand, 'summary', '', 'url', 'a'), named_struct('pos', 1, 'title', p_name, 'rating', '7.1', 'cast', '', 'summary', '', 'url', 'b'), named_struct('pos', 2, 'title', if(p_partkey % 2 = 0, upper(p_name), 'y'), 'rating', if(p_partkey % 4 = 0, '', '8.0'), 'cast', 'z / ' || p_brand, 'summary', '', 'url', 'c')))"
+    candidates = values(spark, _CANDIDATES, "id long, pos int, title string, rating string, cast string, summary string, url string").unionByName(part.selectExpr("id", three))
+    return enrich.identity_match(values(spark, _ASKERS, "id long, title string, authors string").unionByName(asked), candidates).drop("description")
 
 
 _NAMES = [(1, "活着", "活着.txt", "一部《兄弟》之外的作品。", "余华 著", "活着|兄弟", "活着 余华 著|活着"), (2, "0001", "ya li guan li.txt", "", "", "压力管理", "0001"), (3, "wei zhi", "x_y [z].txt", "边城", "沈从文；某人", "边城", "wei zhi 沈从文|wei zhi")]
 
 
-@query(f"SELECT id, expected AS titles, asked AS queries FROM {values_sql(_NAMES, 'id, title, filename, description, authors, expected, asked')}")
+@query(f"""SELECT id, expected AS titles, asked AS queries FROM {values_sql(_NAMES, 'id, title, filename, description, authors, expected, asked')}
+    UNION ALL SELECT p_partkey + 100, CASE WHEN p_partkey % 2 = 1 OR bad_longer THEN p_name WHEN bad THEN longer ELSE p_name || '|' || longer END, p_name || ' ' || p_brand || '|' || p_name
+      FROM (SELECT *, (SELECT {_NAME_SQL} FROM (SELECT p_name AS s)) AS bad, (SELECT {_NAME_SQL} FROM (SELECT longer AS s)) AS bad_longer FROM (SELECT *, 'The ' || p_name AS longer FROM part))""")
 def lookup_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, [r[:5] for r in _NAMES], "id int, title string, filename string, description string, authors string")
+    """Parts, too, every other one with a second title in its description."""
+    parts = table(spark, sf_dir, "part").selectExpr("p_partkey + 100 AS id", "p_name AS title", "p_name || '.txt' AS filename", "if(p_partkey % 2 = 0, 'On 《The ' || p_name || '》.', '') AS description", "p_brand AS authors")
+    rows = values(spark, [r[:5] for r in _NAMES], "id long, title string, filename string, description string, authors string").unionByName(parts)
     return rows.select("id", F.array_join(enrich.lookup_candidates(F.col("title"), F.col("filename"), F.col("description")), "|").alias("titles"), F.array_join(enrich.queries(F.col("title"), F.col("authors")), "|").alias("queries"))
 
 

@@ -18,9 +18,13 @@ SKIPPED_FOLDERS = ("$recycle.bin", ".git", "__macosx", "stackwise_copies", "stac
 LISTING = "path string, dir string, filename string, stem string, ext string, size long, mtime double, is_file boolean"
 
 
-class _Folder(InputPartition):
-    def __init__(self, path: str, deep: bool):
-        self.path, self.deep = path, deep
+#: Partitions of the folders of one depth, at most.
+PARTITIONS = 256
+
+
+class _Folders(InputPartition):
+    def __init__(self, paths: list[str], deep: bool):
+        self.paths, self.deep = paths, deep
 
 
 def kept_folder(name: str, skipped: tuple[str, ...] = SKIPPED_FOLDERS) -> bool:
@@ -30,7 +34,8 @@ def kept_folder(name: str, skipped: tuple[str, ...] = SKIPPED_FOLDERS) -> bool:
 class FolderListing(DataSource):
     """``spark.read.format("folder_listing").load(root)``: all files below root, whatever their names begin with.
 
-    Skipped and hidden folders are pruned, linked folders not followed. Each folder right below the root is a partition.
+    Skipped and hidden folders are pruned, linked folders not followed. The folders two levels below the root are dealt to
+    partitions with all that is below them, so one large folder right below the root is the work of many.
     """
 
     @classmethod
@@ -48,21 +53,32 @@ class _ListingReader(DataSourceReader):
     def __init__(self, root: str):
         self.root = root
 
+    @staticmethod
+    def _below(folder: str) -> list[str]:
+        with os.scandir(folder) as entries:
+            return sorted(e.path for e in entries if e.is_dir(follow_symlinks=False) and kept_folder(e.name))
+
     def partitions(self) -> list[InputPartition]:
-        with os.scandir(self.root) as entries:
-            below = sorted(e.path for e in entries if e.is_dir(follow_symlinks=False) and kept_folder(e.name))
-        return [_Folder(self.root, False), *(_Folder(p, True) for p in below)]
-
-    def read(self, partition: _Folder) -> Iterator[tuple]:
-        for folder, inner, files in os.walk(partition.path):
-            inner[:] = sorted(n for n in inner if kept_folder(n)) if partition.deep else []
-            for name in sorted(files):
-                path, p = os.path.join(folder, name), PurePath(name)
-                try:
-                    s = os.stat(path)
-                except OSError:
-                    continue
-                yield path, folder, name, p.stem, p.suffix.lower(), s.st_size, s.st_mtime, os.path.isfile(path)
+        first, second = self._below(self.root), []
+        for folder in first:
+            try:
+                second += self._below(folder)
+            except OSError:  # as in the walk, a folder that can't be read has nothing below it
+                continue
+        dealt = ((folders[i::PARTITIONS], deep) for folders, deep in (([self.root, *first], False), (second, True)) for i in range(min(PARTITIONS, len(folders))))
+        return [_Folders(paths, deep) for paths, deep in dealt]
+
+    def read(self, partition: _Folders) -> Iterator[tuple]:
+        for top in partition.paths:
+            for folder, inner, files in os.walk(top):
+                inner[:] = sorted(n for n in inner if kept_folder(n)) if partition.deep else []
+                for name in sorted(files):
+                    path, p = os.path.join(folder, name), PurePath(name)
+                    try:
+                        s = os.stat(path)
+                    except OSError:
+                        continue
+                    yield path, folder, name, p.stem, p.suffix.lower(), s.st_size, s.st_mtime, os.path.isfile(path)
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
