@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes hashed at once; longer texts are cut at white space, and their parts joined again.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
+#: Bytes of a batch of rows that a task sends to Python; a task holds a few such batches on either side. A larger row is a batch of its own.
+BATCH_BYTES = 8 << 20
 
 
 # ---------------------------------------------------------------- scratch tables
@@ -35,10 +37,18 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
+    """Writes df once to the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    Rows go to Python in batches of BATCH_BYTES meanwhile; the session's own bound is put back.
+    """
+    spark, bound = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
     path = f"{scratch_dir(spark)}/stackwise/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(bound)
+    spark.conf.set(bound, str(BATCH_BYTES))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(bound, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

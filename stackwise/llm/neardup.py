@@ -34,7 +34,7 @@ PIVOTS, MATES = 1024, 1024
 #: Numbers that a comparison of blocks works on at once, and shingles of mates that it holds.
 CELLS, HELD = 4_000_000, 500_000
 #: Characters of text whose signatures are made together; a text counts for ROW of them at least, for its signature is of a fixed size.
-TOGETHER, ROW = 2_000_000, 2_000
+TOGETHER, ROW = 500_000, 2_000
 #: Tasks that a band's rows are dealt to in joins, so that a bucket that holds much of the table isn't one task's.
 SALTS = 16
 #: Tables of nodes of up to so many rows (24 bytes each) are broadcast, larger ones joined by shuffling.
