@@ -36,15 +36,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     """Writes df once to the shared folder and reads it back: cuts lineage, survives lost executors.
 
-    Rows go to Python in batches of BATCH_BYTES meanwhile; the session's own bound is put back.
+    ``batch``: rows go to Python in batches of so many bytes meanwhile; the session's own bound is put back.
     """
     spark, bound = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
     path = f"{scratch_dir(spark)}/stackwise/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(bound)
-    spark.conf.set(bound, str(BATCH_BYTES))
+    spark.conf.set(bound, str(batch or before))
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:

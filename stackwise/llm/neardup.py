@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _GOLD, materialise, mix, shingle_hashes, slices, spread, text_column
+from .common import _GOLD, BATCH_BYTES, materialise, mix, shingle_hashes, slices, spread, text_column
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -324,7 +324,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     without words of one kind (null counts as empty). Repeated rows and ids are rows of their own; an id that is null is the
     class's id only if all its ids are. An empty table gives an empty result.
     """
-    rows = materialise(with_bands(docs, key, text), "signatures")
+    rows = materialise(with_bands(docs, key, text), "signatures", BATCH_BYTES)
     nodes = materialise(rows.groupBy("node").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands")), "nodes")
     banded = nodes.select("node", "rep", F.posexplode("bands").alias("number", "band")).where("band is not null").withColumn("number", F.col("number") % BANDS)
     buckets = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
@@ -336,14 +336,14 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     texts = texts.join(wanted, (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("rep")))
     if not rows.groupBy("id", "node").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # repeated rows
         texts = texts.dropDuplicates(["node"])
-    sets = materialise(shingle_sets(texts), "sets")
+    sets = materialise(shingle_sets(texts), "sets", BATCH_BYTES)
 
     centre = mates.join(_small(involved).select("node", "mates"), "node").groupBy("band").agg(F.max_by("node", F.struct("mates", "node")).alias("a"))
     pairs = _with_band(mates, centre).where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
-    links = materialise(verified(pairs, sets, least), "links")
+    links = materialise(verified(pairs, sets, least), "links", BATCH_BYTES)
     found = components(links)
     members = mates.select("band", "number", "node").join(_small(found), "node", "left").select("band", "number", "node", F.coalesce("comp", "node").alias("comp"))
-    more = materialise(compared(members, sets, least), "links")
+    more = materialise(compared(members, sets, least), "links", BATCH_BYTES)
     if not more.isEmpty():
         found = components(links.unionByName(more))
     named = nodes.select("node", "rep").join(_small(found), "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
