@@ -36,10 +36,10 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, batch: int | None = BATCH_BYTES) -> DataFrame:
     """Writes df once to the shared folder and reads it back: cuts lineage, survives lost executors.
 
-    ``batch``: rows go to Python in batches of so many bytes meanwhile; the session's own bound is put back.
+    Rows go to Python in batches of ``batch`` bytes meanwhile (null: the session's own bound); that bound is put back.
     """
     spark, bound = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
     path = f"{scratch_dir(spark)}/stackwise/{name}-{uuid.uuid4().hex}"

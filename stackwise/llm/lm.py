@@ -554,9 +554,9 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """
     context = docs.sparkSession.sparkContext
     rows = spread(docs.select(docs[key].cast("long").alias("id"), held_out(docs[key].cast("long")).alias("held"), text_column(docs, text).alias("text")))
-    counts = materialise(count_tokens(rows.where(~F.col("held"))), "counts")
+    counts = materialise(count_tokens(rows.where(~F.col("held"))), "counts", batch=None)
     vocabulary = Vocabulary(counts)
-    numbered = materialise(number_tokens(rows, vocabulary), "numbered")
+    numbered = materialise(number_tokens(rows, vocabulary), "numbered", batch=None)
     sent = context.broadcast((vocabulary, fit(numbered, vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
