@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, lm, mixing, neardup, packing, pii, quality, sharding, topk, url_filter
+from . import alignment, fingerprint, lm, mixing, neardup, packing, pii, quality, ranking, sharding, topk, url_filter, word_bpe
 from .common import materialise
 
 
@@ -64,6 +64,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.digest(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op13_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_packing": op2_packing,
@@ -75,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_neardup": op9_neardup,
     "op10_mixing": op10_mixing,
+    "op11_alignment": op11_alignment,
+    "op12_word_bpe": op12_word_bpe,
+    "op13_ranking": op13_ranking,
 }
 
 
@@ -135,5 +150,20 @@ def _url_sql() -> str:
     FROM judged p LEFT JOIN best b ON b.host = p.host AND b.path = p.path"""
 
 
+_TERMS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_RANKING_SQL = f"""
+    WITH lists AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS_SQL} AS terms FROM documents),
+    held AS (SELECT * FROM lists WHERE len(terms) > 0),
+    total AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(terms)) AS BIGINT) AS terms FROM held),
+    tfs AS (SELECT r, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(terms) AS term FROM held) GROUP BY ALL),
+    weights AS (SELECT term, CAST(floor({ranking.WEIGHT_SCALE} * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tfs, total GROUP BY term),
+    ms AS (SELECT r, doc_id, 100 - {ranking.LENGTH_SHARE} + (({ranking.LENGTH_SHARE} * len(held.terms) * docs) // total.terms) AS m FROM held, total),
+    items AS (SELECT DISTINCT i, item_id, term FROM (SELECT i, item_id, unnest(terms) AS term FROM (SELECT row_number() OVER () AS i, item_id, {_TERMS_SQL} AS terms FROM benchmark))),
+    scored AS (SELECT i, any_value(item_id) AS item_id, any_value(doc_id) AS doc_id, r, CAST(sum(w * (({ranking.TF_SCALE} * tf) // ({ranking.TF_UNIT} * tf + {ranking.LENGTH_UNIT} * m))) AS BIGINT) AS score
+               FROM items JOIN weights USING (term) JOIN tfs USING (term) JOIN ms USING (r) GROUP BY i, r),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= {ranking.K}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": _TOPK_SQL, "op7_sharding": _sharding_sql(), "op8_url_filter": _url_sql()}
+    return {"op1_topk": _TOPK_SQL, "op7_sharding": _sharding_sql(), "op8_url_filter": _url_sql(), "op13_ranking": _RANKING_SQL}
