@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import os
 import time
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from .operators.backoff import Backoff
 from .plans import repair, scan
 from .schema import CATALOG
 from .sources import files
+from .streaming.incremental import Spaced
 
 #: Environment switch that turns lookups off, and the values that do.
 LOOKUPS_OFF, YES = "STACKWISE_NO_LOOKUPS", ("1", "true", "yes", "on")
@@ -103,13 +106,28 @@ class Library:
 
     # writing
 
-    def scan(self, root: str, with_text: bool = True, now: float | None = None) -> dict:
-        """Scans a folder into the next snapshot; returns the counters."""
-        snapshot, found = scan.scan(self.spark, root, self.catalog, time.time() if now is None else now, with_text)
-        found = found.select("path", "action", "remote_due")
-        self.publish(snapshot)
-        read = found.where("action = 'index'").select("path").join(self.catalog.select("path", "scan_error"), "path")
-        return facets.scan_counters(found.join(read, "path", "left")).first().asDict()
+    def scan(self, root: str, with_text: bool = True, now: float | None = None, report: Callable[[int, str], None] | None = None) -> dict:
+        """Scans a folder into the next snapshot; returns the counters, with the files and bytes that were read.
+
+        ``report(files so far, "running" or "finished")`` is called as tasks end, every 100 files or 2 seconds, and at the end.
+        """
+        work = f"{self.folder}/_work/{uuid.uuid4().hex}"
+        told = Spaced(report) if report else None
+        try:
+            snapshot, found = scan.scan(self.spark, root, self.catalog, time.time() if now is None else now, with_text, work, told and told.seen)
+            self.publish(snapshot)
+            read = self.spark.read.parquet(f"{work}/read")
+            found = found.select("path", "action", "remote_due").join(read.select("path", "own.scan_error"), "path", "left")
+            counters = facets.scan_counters(found).first().asDict() | read.agg(F.count("*").alias("files_read"), F.coalesce(F.sum("bytes_read"), F.lit(0)).alias("bytes_read")).first().asDict()
+        finally:
+            self._remove(work)
+        if told:
+            told.end()
+        return counters
+
+    def _remove(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def share_copies(self, now: float | None = None) -> int:
         """Copies what was looked up to identical files; returns how many rows changed."""
@@ -129,7 +147,7 @@ class Library:
         """The preview of a repair of bad rows; applied, it is the next snapshot."""
         catalog, listing = self.catalog, files.list_files(self.spark, root)
         bad = catalog.where("status = 'active'").where(repair.needs_repair()).select("path")
-        preview = repair.repair_preview(catalog, scan.extract(self.spark, listing.join(bad, "path", "left_semi"), listing, root), options)
+        preview = repair.repair_preview(catalog, scan.extract(listing.join(bad, "path", "left_semi"), listing), options)
         if apply:
             self.publish(repair.repair_apply(catalog, preview, time.time() if now is None else now))
         return preview

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions import classify, tags
 from ..functions import text as t
 from ..operators import enrich, merge
 from ..schema import CATALOG, EXTRACTED, evolve
+from ..sources import chosen as chosen_files
 from ..sources import files, readers
 
 SAME_SECONDS = 0.01
@@ -32,15 +35,15 @@ def refresh_reason(title: Column, description: Column, tags_text: Column) -> Col
 
 def classify_files(listing: DataFrame, catalog: DataFrame, now: float) -> DataFrame:
     """The listing with ``action`` (skip, touch, index), id, reason, same, remote_due, and what the catalog says of tags."""
-    old = evolve(catalog)
+    old, o_reason = evolve(catalog), refresh_reason(F.col("title"), F.col("description"), F.col("tags_text"))
     known = old.select(
         F.col("path").alias("o_path"),
         "id",
         F.col("size").alias("o_size"),
         F.col("mtime").alias("o_mtime"),
-        refresh_reason(F.col("title"), F.col("description"), F.col("tags_text")).alias("o_reason"),
+        o_reason.alias("o_reason"),
         enrich.due_row(now).alias("o_due"),
-        tags.infer_tags(F.col("title"), F.col("authors"), F.col("description"), F.col("filename")).alias("o_inferred"),
+        F.when(o_reason == "missing_tags", tags.infer_tags(F.col("title"), F.col("authors"), F.col("description"), F.col("filename"))).alias("o_inferred"),
     )
     out = listing.join(known, listing["path"] == known["o_path"], "left")
     same = F.coalesce(same_file(F.col("o_size"), F.col("o_mtime"), F.col("size"), F.col("mtime")), F.lit(False))
@@ -51,14 +54,22 @@ def classify_files(listing: DataFrame, catalog: DataFrame, now: float) -> DataFr
     return out.withColumns({"action": action, "remote_due": F.when(action == "touch", F.coalesce("o_due", F.lit(False))).otherwise(due)}).drop("o_path", "o_size", "o_mtime", "o_reason", "o_due")
 
 
-def extract(spark: SparkSession, chosen: DataFrame, listing: DataFrame, root: str, with_text: bool = True) -> DataFrame:
-    """path and final metadata of chosen files: sidecar by preference, then the file's own fields, then the sidecar again."""
-    with_content = readers.contents(spark, chosen, root)
-    raw = with_content.withColumn("own", readers.reader_column(F.col("content"), F.col("ext"), with_text)).drop("content")
-    side = files.sidecars(listing)
-    opf = readers.contents(spark, side.where("opf is not null").select(F.col("opf").alias("path")).distinct(), root).drop("unread")
-    opf = opf.select(F.col("path").alias("opf"), F.regexp_replace("path", r"/[^/]*\z", "").alias("opf_dir"), readers.opf_column(F.col("content")).alias("side"))
-    out = raw.join(side, "path", "left").join(opf, "opf", "left")
+def written(df: DataFrame, path: str | None) -> DataFrame:
+    """df, written down once at path if there is one."""
+    if not path:
+        return df
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def extract(chosen: DataFrame, listing: DataFrame, with_text: bool = True, work: str | None = None, report: Callable[[int], None] | None = None) -> DataFrame:
+    """path and final metadata of chosen files: sidecar by preference, then the file's own fields, then the sidecar again.
+
+    Only the chosen files and their sidecars are opened; what was read is written to ``work``, so it is read once.
+    """
+    wanted = chosen.join(files.sidecars(listing), "path", "left")
+    read = written(chosen_files.read_files(wanted, with_text, report), work)
+    out = wanted.withColumn("opf_dir", F.regexp_replace("opf", r"/[^/]*\z", "")).join(read, "path")
     guess = classify.guess_from_filename(F.col("filename"))
     out = out.withColumn("guess", guess)
     plain = F.col("ext").isin(".txt", ".md") & F.col("own.description").isNotNull()
@@ -82,15 +93,20 @@ def extract(spark: SparkSession, chosen: DataFrame, listing: DataFrame, root: st
     cover = F.when(text("cover_path") != "", F.when(text("cover_path").startswith("/"), text("cover_path")).otherwise(F.concat("opf_dir", F.lit("/"), text("cover_path")))).otherwise(F.coalesce("cover", F.lit("")))
     out = out.withColumns({"tags": tags.merge_tags(subjects, inferred), "cover_path": cover})
     out = out.withColumn("description", F.when(F.col("description") == "", t.simple_description(F.col("title"), F.col("authors"), F.col("tags"), F.col("ext"))).otherwise(F.col("description")))
-    return out.select("path", "title", "authors", "description", *(text(c).alias(c) for c in ("language", "publisher", "published_year", "isbn")), F.coalesce("unread", text("scan_error")).alias("scan_error"), "cover_path", F.lit("local").alias("source"), "tags")
+    return out.select("path", "title", "authors", "description", *(text(c).alias(c) for c in ("language", "publisher", "published_year", "isbn")), text("scan_error").alias("scan_error"), "cover_path", F.lit("local").alias("source"), "tags")
+
 
+def scan(spark: SparkSession, root: str, catalog: DataFrame, now: float, with_text: bool = True, work: str | None = None, progress: Callable[[int], None] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(next snapshot, classified files). Files that are gone stay in the catalog; quarantined rows become active if theirs is back.
 
-def scan(spark: SparkSession, root: str, catalog: DataFrame, now: float, with_text: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(next snapshot, classified files). Files that are gone stay in the catalog; quarantined rows become active if theirs is back."""
-    listing = files.list_files(spark, root)
-    found = classify_files(listing, catalog, now)
+    In a folder ``work`` the classified listing (``found``) and what was read of files (``read``) are written down, so that
+    snapshot and counters are of one listing, and each file is opened once. ``progress`` gets numbers of files as they are done.
+    """
+    found = written(classify_files(files.list_files(spark, root), catalog, now), work and f"{work}/found")
     chosen = found.where("action = 'index'")
-    metadata = extract(spark, chosen, listing, root, with_text)
+    if progress:
+        progress(found.where("action <> 'index'").count())
+    metadata = extract(chosen, found, with_text, work and f"{work}/read", progress)
     marks = chosen.select("path", "size", "mtime", "id", "reason", "same", "remote_due", "o_inferred")
     extra = F.when(F.col("reason") == "missing_tags", F.col("o_inferred")).otherwise(F.expr(tags.NO_TAGS))
     incoming = metadata.join(marks, "path").withColumns({

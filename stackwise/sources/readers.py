@@ -1,4 +1,7 @@
-"""Readers of book formats: bytes in, a struct of raw fields out, in Arrow batches. No reader fails a scan: errors are a field.
+"""Readers of book formats: a seekable file in, a struct of raw fields out, in Arrow batches. No reader fails a scan: errors are a field.
+
+Readers take what they need of a file: its beginning, an archive's directory and single members, a PDF's cross-reference
+table and document information. A file's size doesn't matter, and XML is read as a stream, without a tree.
 
 Raw fields have their HTML entities decoded; choosing titles, authors and descriptions is left to Column expressions.
 """
@@ -7,23 +10,28 @@ from __future__ import annotations
 
 import html
 import io
+import math
 import re
 import zipfile
 from collections.abc import Callable
+from typing import BinaryIO
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import classify
 from ..functions import text as t
 from ..schema import EXTRACTED
+from . import pdf
 
 # Metadata elements and record types.
 DUBLIN_CORE = {"title": "title", "creator": "authors", "author": "authors", "description": "description", "language": "language", "publisher": "publisher"}
 EXTH = {100: "authors", 101: "publisher", 103: "description", 104: "isbn", 105: "subjects", 106: "published_year", 503: "title"}
 STRICT, LENIENT = ("utf-8-sig", "utf-8", "gb18030", "big5"), ("gb18030", "big5", "utf-8", "cp1252", "latin-1")
+#: Characters other than white space that make more than a description, even if all are entities.
+SHOWN = 200 * t.EXCERPT
 _MOJIBAKE = re.compile("[À-ÿ]")
 
 Fields = dict[str, object]
@@ -48,8 +56,42 @@ def tidy(text: str | None, limit: int = t.EXCERPT) -> str:
     return " ".join(html.unescape(text or "").replace("\x00", " ").split())[:limit].strip()
 
 
-def _name(element: ElementTree.Element) -> str:
-    return element.tag.rsplit("}", 1)[-1]
+class _Elements:
+    """A parser's target that keeps the elements of some names, in the order in which they begin: (name, attributes, text before the first child).
+
+    Those that begin after ``most`` characters other than white space aren't kept.
+    """
+
+    def __init__(self, names: set[str], most: float):
+        self.names, self.found, self.open, self.left = names, [], [], most
+
+    def start(self, tag: str, attributes: dict[str, str]) -> None:
+        name = tag.rsplit("}", 1)[-1]
+        if self.open:
+            self.open[-1] = None  # a child ends the parent's text
+        self.open.append(None)
+        if name.lower() in self.names and self.left > 0:
+            self.open[-1] = text = []
+            self.found.append((name, attributes, text))
+
+    def data(self, data: str) -> None:
+        if self.open and self.open[-1] is not None:
+            self.open[-1].append(data)
+            self.left -= sum(map(len, data.split()))
+
+    def end(self, tag: str) -> None:
+        self.open.pop()
+
+    def close(self) -> list[tuple[str, dict[str, str], str]]:
+        return [(name, attributes, "".join(text)) for name, attributes, text in self.found]
+
+
+def _elements(file: BinaryIO, names: set[str], most: float = math.inf) -> list[tuple[str, dict[str, str], str]]:
+    """The elements of these names (lower case); the file is parsed as it is read."""
+    parser = ElementTree.XMLParser(target=_Elements(names, most))
+    while chunk := file.read(1 << 16):
+        parser.feed(chunk)
+    return parser.close()
 
 
 def _listed(values: list[str]) -> str:
@@ -63,12 +105,15 @@ def _without_markup(text: str) -> str:
     return re.sub(r"<[^>]+>", " ", re.sub(r"(?is)<(script|style)[^>]*>.*?</\1>", " ", text))
 
 
-def _dublin_core(root: ElementTree.Element, limit: int) -> Fields:
+_CORE = {*DUBLIN_CORE, "subject"}
+
+
+def _dublin_core(found: list[tuple[str, dict[str, str], str]], limit: int) -> Fields:
     """Title (the first), authors (all), other elements (the last), subjects (all)."""
     seen: dict[str, list[str]] = {}
-    for e in root.iter():
-        if (name := _name(e).lower()) in {*DUBLIN_CORE, "subject"} and (text := tidy(e.text, limit)):
-            seen.setdefault(DUBLIN_CORE.get(name, "subjects"), []).append(text)
+    for name, _, text in found:
+        if name.lower() in _CORE and (text := tidy(text, limit)):
+            seen.setdefault(DUBLIN_CORE.get(name.lower(), "subjects"), []).append(text)
     out: Fields = {k: v[-1] for k, v in seen.items() if k not in ("title", "authors", "subjects")}
     if "title" in seen:
         out["title"] = seen["title"][0]
@@ -77,67 +122,71 @@ def _dublin_core(root: ElementTree.Element, limit: int) -> Fields:
     return out | {"subjects": seen.get("subjects", [])}
 
 
-def read_opf(raw: bytes) -> Fields:
+def read_opf(file: BinaryIO) -> Fields:
     """A sidecar's fields, with the year of its date, an identifier shaped like an ISBN, and the manifest's cover (relative)."""
-    root = ElementTree.fromstring(raw)
-    out = _dublin_core(root, 800)
+    found = _elements(file, {*_CORE, "date", "identifier", "meta", "item"})
+    out = _dublin_core(found, 800)
     items, cover = {}, ""
-    for e in root.iter():
-        name, text = _name(e).lower(), tidy(e.text, 800)
+    for name, attributes, text in found:
+        name, text = name.lower(), tidy(text, 800)
         if name == "date" and (year := re.search(r"\d{4}", text)):
             out["published_year"] = year[0]
         elif name == "identifier" and len(re.sub("[^0-9Xx]", "", text)) in (10, 13):
             out["isbn"] = text
-        elif name == "meta" and e.attrib.get("name", "").lower() == "cover":
-            cover = e.attrib.get("content", "")
+        elif name == "meta" and attributes.get("name", "").lower() == "cover":
+            cover = attributes.get("content", "")
         elif name == "item":
-            items[e.attrib.get("id", "")] = e.attrib.get("href", "")
+            items[attributes.get("id", "")] = attributes.get("href", "")
     if cover and items.get(cover):
         out["cover_path"] = items[cover]
     return out
 
 
-def read_epub(raw: bytes, with_text: bool = True) -> Fields:
+def read_epub(file: BinaryIO, with_text: bool = True) -> Fields:
     """The package's fields; without a description, the first page that isn't a cover. Covers inside aren't looked for."""
-    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+    with zipfile.ZipFile(file) as z:
         names, out = z.namelist(), {"subjects": []}
         try:
-            container = ElementTree.fromstring(z.read("META-INF/container.xml"))
-            package = next((p for e in container.iter() if _name(e) == "rootfile" and (p := e.attrib.get("full-path", "")) in names), "")
+            with z.open("META-INF/container.xml") as f:
+                package = next((p for _, attributes, _ in _elements(f, {"rootfile"}) if (p := attributes.get("full-path", "")) in names), "")
         except (KeyError, ElementTree.ParseError):
             package = ""
         if package:
-            out = _dublin_core(ElementTree.fromstring(z.read(package)), 400)
+            with z.open(package) as f:
+                out = _dublin_core(_elements(f, _CORE), 400)
         page = next((n for n in names if n.lower().endswith((".xhtml", ".html", ".htm")) and "cover" not in n.lower()), "")
         if with_text and not out.get("description") and page:
-            out["description"] = tidy(_without_markup(z.read(page)[: t.READ_BYTES].decode("utf-8", errors="ignore")))
+            with z.open(page) as f:
+                out["description"] = tidy(_without_markup(f.read(t.READ_BYTES).decode("utf-8", errors="ignore")))
         return out
 
 
-def read_docx(raw: bytes, with_text: bool = True) -> Fields:
-    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+def read_docx(file: BinaryIO, with_text: bool = True) -> Fields:
+    with zipfile.ZipFile(file) as z:
         names, out = z.namelist(), {}
         if "docProps/core.xml" in names:
-            for e in ElementTree.fromstring(z.read("docProps/core.xml")).iter():
-                field = {"title": "title", "creator": "authors", "description": "description"}.get(_name(e))
-                if field and (text := tidy(e.text, 240)):
-                    out[field] = text
+            with z.open("docProps/core.xml") as f:
+                for name, _, text in _elements(f, {"title", "creator", "description"}):
+                    field = {"title": "title", "creator": "authors", "description": "description"}.get(name)
+                    if field and (text := tidy(text, 240)):
+                        out[field] = text
         if with_text and not out.get("description") and "word/document.xml" in names:
-            out["description"] = tidy(" ".join(e.text or "" for e in ElementTree.fromstring(z.read("word/document.xml")).iter() if _name(e) == "t"))
+            with z.open("word/document.xml") as f:
+                out["description"] = tidy(" ".join(text for name, _, text in _elements(f, {"t"}, SHOWN) if name == "t"))
         return out
 
 
-def read_pdf(raw: bytes, with_text: bool = True) -> Fields:
-    """Document information and the first two pages, if pypdf is there."""
+def read_pdf(file: BinaryIO, with_text: bool = True) -> Fields:
+    """Document information, and the first two pages' text if pypdf is there."""
     try:
         from pypdf import PdfReader
     except ImportError:
-        return {}
-    pdf = PdfReader(io.BytesIO(raw))
-    out = {field: str(v) for field, key in (("title", "/Title"), ("authors", "/Author")) if (v := (pdf.metadata or {}).get(key))}
-    if with_text and not pdf.is_encrypted:
+        return {field: text for field, key in (("title", "Title"), ("authors", "Author")) if (text := pdf.document_information(file).get(key))}
+    reader = PdfReader(file)
+    out = {field: str(v) for field, key in (("title", "/Title"), ("authors", "/Author")) if (v := (reader.metadata or {}).get(key))}
+    if with_text and not reader.is_encrypted:
         pages = []
-        for page in pdf.pages[:2]:
+        for page in reader.pages[:2]:
             try:
                 pages.append(page.extract_text() or "")
             except Exception:  # noqa: BLE001  a damaged page is as good as none
@@ -147,21 +196,21 @@ def read_pdf(raw: bytes, with_text: bool = True) -> Fields:
     return out
 
 
-def read_rtf(raw: bytes, with_text: bool = True) -> Fields:
+def read_rtf(file: BinaryIO, with_text: bool = True) -> Fields:
     if not with_text:
         return {}
-    text = re.sub(r"\\[a-zA-Z]+\d* ?", " ", re.sub(r"\\'[0-9a-fA-F]{2}", " ", decode_bytes(raw[: t.READ_BYTES])))
+    text = re.sub(r"\\[a-zA-Z]+\d* ?", " ", re.sub(r"\\'[0-9a-fA-F]{2}", " ", decode_bytes(file.read(t.READ_BYTES))))
     return {"description": tidy(text.translate({ord("{"): " ", ord("}"): " "}))}
 
 
-def read_plain(raw: bytes, with_text: bool = True) -> Fields:
+def read_plain(file: BinaryIO, with_text: bool = True) -> Fields:
     """The text alone, a line each; title lines are found by Column expressions (plain_text_fields)."""
-    return {"description": decode_bytes(raw[: t.READ_BYTES])} if with_text else {}
+    return {"description": decode_bytes(file.read(t.READ_BYTES))} if with_text else {}
 
 
-def read_mobi(raw: bytes, with_text: bool = True) -> Fields:
+def read_mobi(file: BinaryIO, with_text: bool = True) -> Fields:
     """The database name as a title (if nothing better follows) and the EXTH records, each inside its bounds."""
-    raw = raw[: t.READ_BYTES]
+    raw = file.read(t.READ_BYTES)
     out: Fields = {"title": decode_bytes(raw[:32]).strip("\x00 "), "subjects": []}
     at = raw.find(b"EXTH")
     if at < 0 or at + 12 > len(raw):
@@ -188,10 +237,17 @@ READERS: dict[str, Callable[..., Fields]] = {".pdf": read_pdf, ".docx": read_doc
 
 
 def read_one(ext: str, raw: bytes | None, with_text: bool = True) -> Fields:
-    """Fields of a file by its extension; .doc, .fb2 and others have no reader. An error is the field scan_error, 240 characters."""
+    """read_file of a file's content."""
+    return read_file(ext, lambda: io.BytesIO(raw), with_text) if raw is not None else {}
+
+
+def read_file(ext: str, opened: Callable[[], BinaryIO], with_text: bool = True) -> Fields:
+    """Fields of a file by its extension; .doc, .fb2 and others have no reader and aren't opened. An error is the field scan_error, 240 characters."""
+    reader, out = READERS.get(ext), {}
     try:
-        reader = READERS.get(ext)
-        out = reader(raw, with_text) if reader and raw is not None else {}
+        if reader:
+            with opened() as file:
+                out = reader(file, with_text)
     except Exception as e:  # noqa: BLE001  a file that can't be read never stops a scan
         return {"scan_error": str(e)[:240]}
     if better := out.pop("better_title", ""):
@@ -229,15 +285,17 @@ def _read_books(exts: pd.Series, raws: pd.Series) -> pd.DataFrame:
     return _frame([read_one(e, r) for e, r in zip(exts, raws, strict=True)])
 
 
-def _opf_or_nothing(raw: bytes | None) -> Fields:
+def opf_or_nothing(opened: Callable[[], BinaryIO]) -> Fields:
+    """read_opf; a sidecar that can't be read has no fields."""
     try:
-        return read_opf(raw) if raw is not None else {}
-    except ElementTree.ParseError:
+        with opened() as file:
+            return read_opf(file)
+    except Exception:  # noqa: BLE001  a sidecar never stops a scan
         return {}
 
 
 def _read_opfs(raws: pd.Series) -> pd.DataFrame:
-    return _frame([_opf_or_nothing(r) for r in raws])
+    return _frame([{} if r is None else opf_or_nothing(lambda r=r: io.BytesIO(r)) for r in raws])
 
 
 def _decoded(raws: pd.Series) -> pd.Series:
@@ -253,16 +311,3 @@ def plain_text_fields(text: Column) -> Column:
     by = r"(?iU)^(作者|author)[:：]\s*"
     authors = F.when(second.rlike(by), F.regexp_replace(second, by, "")).when(parts["author"] != "", parts["author"])
     return F.struct(F.when(first.isNotNull(), parts["title"]).alias("title"), authors.alias("authors"), t.clean_text(F.array_join(F.slice(lines, 1, 24), "\n")).alias("description"))
-
-
-def contents(spark, listing: DataFrame, paths: list[str] | str, limit: int = 1 << 26) -> DataFrame:
-    """path and content of the files below paths that the listing has, and ``unread``, an error in place of the content.
-
-    Formats that are read from their beginning have that much of a file above ``limit`` bytes; others of that size aren't
-    read, for a task holds several contents, and say so.
-    """
-    fits, prefix = F.col("length") <= limit, F.lower("path").rlike(r"\.(txt|md|rtf|mobi|azw|azw3)$")
-    content = F.when(fits, F.col("content")).when(prefix, F.substring("content", 1, t.READ_BYTES))
-    unread = F.when(~fits & ~prefix, F.concat(F.lit("not read, it is too large: "), F.col("length").cast("string"), F.lit(" bytes")))
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select(F.regexp_replace("path", r"^file:/+", "/").alias("path"), content.alias("content"), unread.alias("unread"))
-    return listing.join(raw, "path", "left")

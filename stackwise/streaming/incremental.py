@@ -53,23 +53,19 @@ def throttle_stream(updates: DataFrame) -> DataFrame:
     return updates.groupBy("id").applyInPandasWithState(_persist, THROTTLED, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-
-class ScanProgress(StreamingQueryListener):
-    """Tells ``report(files so far, "running" or "finished")`` as a file stream goes on: at least EVERY_FILES files or EVERY_SECONDS apart."""
+class Spaced:
+    """Tells ``report(files so far, "running" or "finished")`` at least EVERY_FILES files or EVERY_SECONDS apart."""
 
     EVERY_FILES, EVERY_SECONDS = 100, 2.0
 
     def __init__(self, report: Callable[[int, str], None], clock: Callable[[], float] = time.monotonic):
         self.report, self.clock = report, clock
-        self.files, self.told, self.at = 0, 0, clock()
+        self.begin()
 
-    def onQueryStarted(self, event) -> None:
+    def begin(self) -> None:
         self.files = self.told = 0
         self.at = self.clock()
 
-    def onQueryProgress(self, event) -> None:
-        self.seen(event.progress.numInputRows)
-
     def seen(self, files: int) -> None:
         self.files += files
         now = self.clock()
@@ -77,8 +73,25 @@ class ScanProgress(StreamingQueryListener):
             self.told, self.at = self.files, now
             self.report(self.files, "running")
 
+    def end(self) -> None:
+        self.report(self.files, "finished")
+
+
+class ScanProgress(StreamingQueryListener):
+    """Tells the progress of a file stream, spaced."""
+
+    def __init__(self, report: Callable[[int, str], None], clock: Callable[[], float] = time.monotonic):
+        self.spaced = Spaced(report, clock)
+        self.seen = self.spaced.seen
+
+    def onQueryStarted(self, event) -> None:
+        self.spaced.begin()
+
+    def onQueryProgress(self, event) -> None:
+        self.seen(event.progress.numInputRows)
+
     def onQueryIdle(self, event) -> None:
         """Nothing arrives, so there is nothing to tell."""
 
     def onQueryTerminated(self, event) -> None:
-        self.report(self.files, "finished")
+        self.spaced.end()

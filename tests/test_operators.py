@@ -215,7 +215,7 @@ def test_readers():
     raw = b"name".ljust(32, b"\0") + b"EXTH" + (len(body) + 12).to_bytes(4, "big") + (3).to_bytes(4, "big") + body
     assert readers.read_one(".mobi", raw) == {"title": "活着", "subjects": [], "published_year": "1993", "authors": "余华"}
     assert readers.decode_bytes("中文".encode("gb18030")) == "中文" and readers.decode_bytes(b"\xef\xbb\xbfx") == "x"
-    opf = readers.read_opf(b"<p><title>T</title><date>2001-02</date><identifier>978-0306406157</identifier><meta name='cover' content='c'/><item id='c' href='c.jpg'/></p>")
+    opf = readers.read_opf(io.BytesIO(b"<p><title>T</title><date>2001-02</date><identifier>978-0306406157</identifier><meta name='cover' content='c'/><item id='c' href='c.jpg'/></p>"))
     assert opf == {"title": "T", "published_year": "2001", "isbn": "978-0306406157", "cover_path": "c.jpg", "subjects": []}
 
 
