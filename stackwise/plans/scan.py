@@ -99,8 +99,8 @@ def extract(chosen: DataFrame, listing: DataFrame, with_text: bool = True, work:
 def scan(spark: SparkSession, root: str, catalog: DataFrame, now: float, with_text: bool = True, work: str | None = None, progress: Callable[[int], None] | None = None) -> tuple[DataFrame, DataFrame]:
     """(next snapshot, classified files). Files that are gone stay in the catalog; quarantined rows become active if theirs is back.
 
-    In a folder ``work`` the classified listing (``found``) and what was read of files (``read``) are written down, so that
-    snapshot and counters are of one listing, and each file is opened once. ``progress`` gets numbers of files as they are done.
+    In a folder ``work`` the classified listing (``found``), what was read of files (``read``) and the rows to merge
+    (``incoming``) are written down, so that snapshot and counters are of one listing, and each file is opened once. ``progress`` gets numbers of files as they are done.
     """
     found = written(classify_files(files.list_files(spark, root), catalog, now), work and f"{work}/found")
     chosen = found.where("action = 'index'")
@@ -114,6 +114,7 @@ def scan(spark: SparkSession, root: str, catalog: DataFrame, now: float, with_te
         "douban_rating_status": F.when(F.col("remote_due"), enrich.PENDING).otherwise(""),
         "reset_remote": F.col("id").isNotNull() & (~F.col("same") | (F.col("reason") == "bad_title")),
     }).drop("id", "reason", "same", "remote_due", "o_inferred")
+    incoming = written(incoming, work and f"{work}/incoming")
     touched = merge.touch(catalog, found.where("action = 'touch'").select("path", "size", "mtime"), now)
     return merge.upsert(touched, incoming, now), found
 
