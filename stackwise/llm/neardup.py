@@ -31,7 +31,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 #: Nodes of a block: those that are compared, and the mates that they are compared with. A bucket of n unlike nodes sends n * n / 512 sets.
 PIVOTS, MATES = 1024, 1024
-#: Numbers that a comparison of blocks works on at once, and shingles of mates that it holds.
+#: Numbers that a comparison of blocks works on at once; shingles of mates that it holds, and about those of a block's pivots.
 CELLS, HELD = 4_000_000, 500_000
 #: Characters of text whose signatures are made together; a text counts for ROW of them at least, for its signature is of a fixed size.
 TOGETHER, ROW = 500_000, 2_000
@@ -135,7 +135,7 @@ def node_of(text: Column) -> Column:
 
 
 def with_bands(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id, node (MD5 of the text), bands (none for a text without words): the keys of both_keys, null where the second repeats the first."""
+    """id, node (MD5 of the text), bands (none for a text without words): the keys of both_keys, null where the second repeats the first; shingles: how many distinct ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, 2, TOGETHER, ROW):
@@ -145,10 +145,10 @@ def with_bands(docs: DataFrame, key: str, text: str) -> DataFrame:
             wanted = np.repeat(np.stack([has, has & new.any(axis=1)], axis=1), BANDS, axis=1)
             same = np.hstack([np.zeros_like(new), ~new])
             offsets = np.concatenate([[0], np.cumsum(wanted.sum(axis=1))])
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[wanted], mask=same[wanted]))], names=["id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[wanted], mask=same[wanted])), pa.array(np.bincount(d, minlength=len(texts)), pa.int64())], names=["id", "node", "bands", "shingles"])
 
     t = text_column(docs, text)
-    return spread(docs.select(docs[key].cast("long").alias("id"), node_of(t).alias("node"), t.alias("text"))).mapInArrow(run, "id long, node binary, bands array<long>")
+    return spread(docs.select(docs[key].cast("long").alias("id"), node_of(t).alias("node"), t.alias("text"))).mapInArrow(run, "id long, node binary, bands array<long>, shingles long")
 
 
 SETS = "node binary, hashes binary, weights binary, keys binary"
@@ -201,6 +201,7 @@ class _Block:
 
     def __init__(self, least: float):
         self.least, self.nodes, self.classes, self.sets, self.keys = least, [], [], [], []
+        self.tables: list[tuple[int, int, np.ndarray, np.ndarray]] = []
 
     def add(self, node: bytes, comp: bytes, pair: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> None:
         self.nodes.append(node)
@@ -208,34 +209,42 @@ class _Block:
         self.sets.append(pair)
         self.keys.append(keys)
 
+    def _tables(self) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """The pivots in runs: first, end, the shingles of all of them, and which pivot has which (a byte each; the last row: none). Made once."""
+        at = self.tables[-1][1] if self.tables else 0
+        while at < len(self.nodes):
+            end, total = at, 0
+            while end < len(self.nodes) and (end == at or (total + len(self.sets[end][0])) * (end + 1 - at) <= CELLS):
+                total += len(self.sets[end][0])
+                end += 1
+            union = np.unique(np.concatenate([h for h, _ in self.sets[at:end]]))
+            has = np.zeros((len(union) + 1, end - at), dtype=np.int8)
+            for i, (h, _) in enumerate(self.sets[at:end]):
+                has[np.searchsorted(union, h), i] = 1
+            self.tables.append((at, end, union, has))
+            at = end
+        return self.tables
+
     def compare(self, band: int, mates: list[tuple]) -> list[tuple[bytes, bytes]]:
         """Links between pivots and mates (node, comp, set, keys) of other classes that share no earlier band.
 
         A link needs ``least`` of the mate's shingles, by number or by weight, in the pivot: that is counted for all pairs at
         once (shares of probability Jaccard and of Jaccard similarity are no larger), the similarity itself for the rest.
         """
-        out, at = [], 0
+        out = []
         names = np.array([n.hex() for n in self.classes])
         others = np.array([m[1].hex() for m in mates])
         keys = np.array([m[3] for m in mates])
         sizes = np.array([len(m[2][0]) for m in mates])
         hashes, weights = np.concatenate([m[2][0] for m in mates]), np.concatenate([m[2][1] for m in mates])
         starts, owner, repeats = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(mates)), sizes), (weights > 1).any()
-        while at < len(self.nodes):
-            end, total = at, 0
-            while end < len(self.nodes) and (end == at or (total + len(self.sets[end][0])) * (end + 1 - at) <= CELLS):
-                total += len(self.sets[end][0])
-                end += 1
-            union = np.unique(np.concatenate([h for h, _ in self.sets[at:end]]))
-            has = np.zeros((len(union) + 1, end - at), dtype=np.int32)
-            for i, (h, _) in enumerate(self.sets[at:end]):
-                has[np.searchsorted(union, h), i] = 1
+        for at, end, union, has in self._tables():
             place = np.minimum(np.searchsorted(union, hashes), len(union) - 1)
             place[union[place] != hashes] = len(union)
             found, heavy = np.zeros((len(mates), end - at)), np.zeros((len(mates), end - at))
             step = max(1, CELLS // (end - at))
             for a in range(0, len(hashes), step):  # a mate of many shingles adds up over several steps
-                inside, whose = has[place[a : a + step]], owner[a : a + step]
+                inside, whose = has[place[a : a + step]].astype(np.int32), owner[a : a + step]
                 first = np.flatnonzero(np.concatenate([[True], whose[1:] != whose[:-1]]))
                 found[whose[first]] += np.add.reduceat(inside, first, axis=0)
                 if repeats:
@@ -248,19 +257,20 @@ class _Block:
                 p = at + i
                 if names[p] != others[m] and not shared_before(keys[m], self.keys[p], band) and similar(self.sets[p], mates[m][2], self.least):
                     out.append((self.nodes[p], mates[m][0]))
-            at = end
         return out
 
 
 def compared(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between nodes of different classes in buckets (band, number, node, comp) that hold several classes.
+    """Links (a, b) between nodes of different classes in buckets (band, number, node, shingles, comp) that hold several classes.
 
-    The nodes outside a bucket's largest class, in blocks of about PIVOTS, meet all its nodes, in blocks of about MATES. A task
-    streams the sorted blocks and holds one block's pivots; a bucket of any size is many blocks.
+    The nodes outside a bucket's largest class, in blocks of about PIVOTS and of about HELD shingles, meet all its nodes, in
+    blocks of about MATES. A task streams the sorted blocks and holds one block's pivots; a bucket of any size is many blocks.
     """
-    sizes = members.groupBy("band", "comp").agg(F.count("*").alias("k"))
-    buckets = sizes.groupBy("band").agg(F.sum("k").alias("n"), F.max("k").alias("top"), F.max_by("comp", F.struct("k", "comp")).alias("largest"), F.count("*").alias("classes")).where("classes > 1")
-    blocks, shares = F.ceil((F.col("n") - F.col("top")) / PIVOTS).cast("int"), F.ceil(F.col("n") / MATES).cast("int")
+    sizes = members.groupBy("band", "comp").agg(F.count("*").alias("k"), F.sum("shingles").alias("s"))
+    largest = F.max_by(F.struct("comp", "k", "s"), F.struct("k", "comp"))
+    buckets = sizes.groupBy("band").agg(F.sum("k").alias("n"), F.sum("s").alias("s"), largest.alias("top"), F.count("*").alias("classes")).where("classes > 1").withColumn("largest", F.col("top.comp"))
+    blocks = F.ceil(F.greatest((F.col("n") - F.col("top.k")) / PIVOTS, (F.col("s") - F.col("top.s")) / HELD)).cast("int")
+    shares = F.ceil(F.col("n") / MATES).cast("int")
     rows = _with_band(members, buckets.select("band", "largest", blocks.alias("blocks"), shares.alias("shares")))
     dealt = F.pmod(F.xxhash64("node"), F.lit(1 << 30)).cast("int")
     mate = rows.select("band", "number", "node", "comp", (dealt % F.col("shares")).alias("share"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"))
@@ -325,8 +335,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     class's id only if all its ids are. An empty table gives an empty result.
     """
     rows = materialise(with_bands(docs, key, text), "signatures")
-    nodes = materialise(rows.groupBy("node").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands")), "nodes")
-    banded = nodes.select("node", "rep", F.posexplode("bands").alias("number", "band")).where("band is not null").withColumn("number", F.col("number") % BANDS)
+    nodes = materialise(rows.groupBy("node").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("shingles").alias("shingles")), "nodes")
+    banded = nodes.select("node", "rep", "shingles", F.posexplode("bands").alias("number", "band")).where("band is not null").withColumn("number", F.col("number") % BANDS)
     buckets = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     mates = materialise(_with_band(banded, buckets), "mates")
     involved = materialise(mates.groupBy("node").agg(F.min("rep").alias("rep"), F.sum("n").alias("mates")), "involved")
@@ -342,7 +352,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     pairs = _with_band(mates, centre).where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
     links = materialise(verified(pairs, sets, least), "links")
     found = components(links)
-    members = mates.select("band", "number", "node").join(_small(found), "node", "left").select("band", "number", "node", F.coalesce("comp", "node").alias("comp"))
+    members = mates.select("band", "number", "node", "shingles").join(_small(found), "node", "left").select("band", "number", "node", "shingles", F.coalesce("comp", "node").alias("comp"))
     more = materialise(compared(members, sets, least), "links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
