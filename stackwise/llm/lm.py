@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _GOLD, materialise, mix, slices, spread, text_column, words_of
+from .common import _GOLD, materialise, mix, releasing, slices, spread, text_column, words_of
 
 HEAD, ENDINGS = 64, 64  # endings: the low bits of a token
 WORDS, WORD_COUNT, MEMBERS = 1 << 15, 20, 256
@@ -95,7 +95,7 @@ def count_tokens(training: DataFrame) -> DataFrame:
         if held:
             yield batch(*merged(held))
 
-    return training.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return training.select("text").mapInArrow(releasing(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def _edges(x: np.ndarray) -> np.ndarray:
@@ -457,8 +457,8 @@ def fit(numbered: DataFrame, vocabulary: Vocabulary) -> list[np.ndarray]:
             if trainer.seen.any():
                 yield _rows(*parameter_rows(trainer.p, v, trainer.seen))
 
-        rows = numbered.where(~F.col("held")).select("symbols").mapInArrow(run, schema)
-        sums = rows.repartition("number").mapInArrow(_sums, schema).toPandas()
+        rows = numbered.where(~F.col("held")).select("symbols").mapInArrow(releasing(run), schema)
+        sums = rows.repartition("number").mapInArrow(releasing(_sums), schema).toPandas()
         if len(sums):
             p = averaged(p, vocabulary, sums["number"].to_numpy(np.int64), sums["n"].to_numpy(), list(sums["x"]))
     return p
@@ -543,7 +543,7 @@ def number_tokens(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             )
             row += len(n)
 
-    return rows.select("id", "held", "text").mapInArrow(run, NUMBERED)
+    return rows.select("id", "held", "text").mapInArrow(releasing(run), NUMBERED)
 
 
 def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -566,7 +566,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             model = np.add.reduceat(log_probabilities(p, words, symbols, at), at[:-1]) / np.log(10) + part.column(6).to_numpy()
             yield pa.RecordBatch.from_arrays([*part.columns[:6], pa.array(model)], names=["row", "id", "held", "n", "known", "base", "model"])
 
-    scored = numbered.select("row", "id", "held", "n", "known", "base", "spread", "symbols").mapInArrow(run, "row long, id long, held boolean, n long, known long, base double, model double")
+    scored = numbered.select("row", "id", "held", "n", "known", "base", "spread", "symbols").mapInArrow(releasing(run), "row long, id long, held boolean, n long, known long, base double, model double")
     rare = numbered.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
     met = rare.join(counts.where(~vocabulary.in_table()).select("token", F.col("n").alias("c")), "token", "left")
     more = met.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("logs"), F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("also"))

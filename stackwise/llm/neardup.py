@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _GOLD, materialise, mix, shingle_hashes, slices, spread, text_column
+from .common import _GOLD, materialise, mix, releasing, shingle_hashes, slices, spread, text_column
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -148,7 +148,7 @@ def with_bands(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[wanted], mask=same[wanted])), pa.array(np.bincount(d, minlength=len(texts)), pa.int64())], names=["id", "node", "bands", "shingles"])
 
     t = text_column(docs, text)
-    return spread(docs.select(docs[key].cast("long").alias("id"), node_of(t).alias("node"), t.alias("text"))).mapInArrow(run, "id long, node binary, bands array<long>, shingles long")
+    return spread(docs.select(docs[key].cast("long").alias("id"), node_of(t).alias("node"), t.alias("text"))).mapInArrow(releasing(run), "id long, node binary, bands array<long>, shingles long")
 
 
 SETS = "node binary, hashes binary, weights binary, keys binary"
@@ -165,7 +165,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
             cut = list(zip(at[:-1], at[1:], strict=True))
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.binary()) for x in ([h[i:j].tobytes() for i, j in cut], [w[i:j].astype(np.int32).tobytes() for i, j in cut], [k.tobytes() for k in keys]))], names=["node", "hashes", "weights", "keys"])
 
-    return texts.select("node", "text").mapInArrow(run, SETS)
+    return texts.select("node", "text").mapInArrow(releasing(run), SETS)
 
 
 def _set(hashes: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +187,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 yield _links(good)
 
     one, two = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}"), F.col("weights").alias(f"w{x}")) for x in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(run, "a binary, b binary")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(releasing(run), "a binary, b binary")
 
 
 def shared_before(a: np.ndarray, b: np.ndarray, band: int) -> bool:
@@ -298,7 +298,7 @@ def compared(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         if mates and block.nodes and (good := block.compare(number, mates)):
             yield _links(good)
 
-    return stream.mapInArrow(run, "a binary, b binary")
+    return stream.mapInArrow(releasing(run), "a binary, b binary")
 
 
 def _with_band(rows: DataFrame, bands: DataFrame) -> DataFrame:
