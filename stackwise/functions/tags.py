@@ -10,7 +10,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import compact, let, squeeze, text_of
+from .text import compact, has_cjk, let, squeeze, text_of
 
 # Labels with their keywords, subject fragments with their labels, and the evidence that tags need.
 KEYWORDS: dict[str, tuple[str, ...]] = {
@@ -93,27 +93,42 @@ def normalize_tag(c: Column) -> Column:
     return let(F.btrim(squeeze(text_of(c)), F.lit(".,;:，。；：/\\|")), lambda t: let(F.struct(t.alias("t"), F.lower(t).alias("low")), label_of))
 
 
-def _parts(text: Column) -> Column:
-    """What the keywords of all labels are looked up in, worked out once: text, its ASCII words, whether it has other characters."""
-    return let(text, lambda x: F.struct(x.alias("text"), F.array_distinct(F.split(x, "[^a-z0-9]+")).alias("words"), x.rlike(r"[^\x00-\x7f]").alias("wide")))
+def _kinds(keywords: Sequence[str]) -> tuple[list[str], list[str], list[str], list[str]]:
+    """The keywords that are ASCII words, several ASCII words, other ASCII texts, and those in other scripts, which all have CJK characters."""
+    words = [k for k in keywords if re.fullmatch("[a-z0-9]+", k)]
+    phrases = [k for k in keywords if k not in words and re.fullmatch(r"[a-z0-9 +#.-]+", k)]
+    rest = [k for k in keywords if k not in (*words, *phrases)]
+    return words, phrases, [k for k in rest if k.isascii()], [k for k in rest if not k.isascii()]
+
+
+def _parts(text: Column, keywords: Sequence[str]) -> Column:
+    """What all the keywords are looked up in, worked out once: the text, which of them are among its ASCII words, whether one in another script occurs.
+
+    So most texts are done after one pass, and the keywords of a label are looked up among the few words found.
+    """
+    words, _, _, wide = _kinds(keywords)
+
+    def looked_up(x: Column) -> Column:
+        own = F.array_intersect(F.split(x, "[^a-z0-9]+"), F.array(*map(F.lit, words)).cast("array<string>"))
+        some = F.when(has_cjk(x), any_of(x, wide)).otherwise(False) if wide else F.lit(False)
+        return F.struct(x.alias("text"), own.alias("words"), some.alias("wide"))
+
+    return let(text, looked_up)
 
 
 def _hit(x: Column, keywords: Sequence[str]) -> Column:
     """Whether the text of _parts has one of the keywords.
 
     An ASCII word is one of the text's words; one of several words is searched between other characters; keywords in other
-    scripts are searched anywhere, and only in texts that have such characters.
+    scripts are searched anywhere, and only in texts that have some.
     """
-    words = [k for k in keywords if re.fullmatch("[a-z0-9]+", k)]
-    phrases = [k for k in keywords if k not in words and re.fullmatch(r"[a-z0-9 +#.-]+", k)]
-    blanked = [k for k in keywords if k in BLANKED]
-    rest = [k for k in keywords if k not in (*words, *phrases, *blanked)]
-    wide, narrow = [k for k in rest if not k.isascii()], [k for k in rest if k.isascii()]
+    words, phrases, narrow, wide = _kinds(keywords)
     hits = [F.arrays_overlap(x["words"], F.array(*map(F.lit, words)))] if words else []
     hits += [F.contains(x["text"], F.lit(k)) & x["text"].rlike(f"(?<![a-z0-9]){re.escape(k)}(?![a-z0-9])") for k in phrases]
     hits += [F.contains(x["text"], F.lit(k)) for k in narrow]
-    others = [any_of(x["text"], wide)] if wide else []
-    others += [F.contains(F.regexp_replace(x["text"], BLANKED[k], " "), F.lit(k)) for k in blanked]
+    plain = [k for k in wide if k not in BLANKED]
+    others = [any_of(x["text"], plain)] if plain else []
+    others += [F.contains(F.regexp_replace(x["text"], BLANKED[k], " "), F.lit(k)) for k in wide if k in BLANKED]
     if others:
         hits.append(x["wide"] & reduce(or_, others))
     return reduce(or_, hits)
@@ -121,13 +136,13 @@ def _hit(x: Column, keywords: Sequence[str]) -> Column:
 
 def keyword_hit(text: Column, keywords: Sequence[str]) -> Column:
     """Whether lower-case text has one of the keywords: ASCII ones not between other letters or digits, others anywhere."""
-    return let(_parts(text), lambda x: _hit(x, keywords))
+    return let(_parts(text, keywords), lambda x: _hit(x, keywords))
 
 
 def infer_tags(*parts: Column, subjects: Column | None = None, limit: int = 10) -> Column:
     """Labels whose keywords the parts have, in vocabulary order, then the subjects' labels."""
     text = F.lower(F.concat_ws(" ", *(F.nullif(text_of(p), F.lit("")) for p in parts)))
-    found = let(_parts(text), lambda x: F.filter(F.array(*(F.when(_hit(x, words), F.lit(label)) for label, words in KEYWORDS.items())), lambda t: t.isNotNull()))
+    found = let(_parts(text, [k for words in KEYWORDS.values() for k in words]), lambda x: F.filter(F.array(*(F.when(_hit(x, words), F.lit(label)) for label, words in KEYWORDS.items())), lambda t: t.isNotNull()))
     if subjects is not None:
         found = F.array_distinct(F.concat(found, _normalized(subjects)))
     return F.slice(found, 1, limit)

@@ -1,13 +1,15 @@
 """Text functions as Column expressions.
 
-White space is Unicode's, letter case folds in ASCII only where the name says so. Texts are expected with HTML entities decoded;
-``html_unescape`` does that once, where texts enter the engine (it is the one function here that needs Python).
+White space is Unicode's, letter case folds in ASCII only where the name says so. Descriptions and looked-up texts have
+their HTML entities decoded by ``unescape``; ``html_unescape`` is the same in Python.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 from collections.abc import Callable
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -38,6 +40,66 @@ def html_unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
+_ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_NO_CHARACTER = 0x110000
+
+
+@functools.cache
+def _low_characters() -> str:
+    """Numbers below 0xA0 that aren't their own characters, as ``number=character`` entries."""
+    return "\x01".join(f"{n}\x02{html.unescape(f'&#{n};')}" for n in range(0xA0) if html.unescape(f"&#{n};") != chr(n))
+
+
+@functools.cache
+def _names() -> tuple[str, str]:
+    """The standard's names as ``name=text`` entries, and an alternation of those that need no semicolon, longest first."""
+    open_names = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+    return "\x01".join(f"{n}\x02{x}" for n, x in html5.items()), "|".join(open_names)
+
+
+def _table(entries: str) -> Column:
+    return F.str_to_map(F.lit(entries), F.lit("\x01"), F.lit("\x02"))
+
+
+def _character(number: Column) -> Column:
+    """The character that a numeric entity stands for: Windows' ones for 0x80 to 0x9F, nothing for controls and noncharacters."""
+    bad = number.between(0xD800, 0xDFFF) | (number >= _NO_CHARACTER)
+    nothing = number.between(0xFDD0, 0xFDEF) | (number.bitwiseAND(0xFFFE) == 0xFFFE)
+    low = F.coalesce(F.try_element_at(_table(_low_characters()), number.cast("string")), F.chr(number))
+    own = F.decode(F.unhex(F.lpad(F.hex(number), 8, F.lit("0"))), "UTF-32")
+    return F.when(bad, "\ufffd").when(nothing, "").when(number < 0xA0, low).otherwise(own)
+
+
+def _entity(found: Column) -> Column:
+    """What one match of _ENTITY stands for; itself if it is no entity."""
+    named, alternation = _names()
+
+    def number(digits: Column, most: int, base: int) -> Column:
+        return F.when(F.length(digits) > most, _NO_CHARACTER).otherwise(F.coalesce(F.conv(digits, base, 10).cast("int"), F.lit(0)))
+
+    def numeric(s: Column) -> Column:
+        hexadecimal = s.rlike("^#[xX]")
+        digits = F.regexp_extract(s, "^#[xX]?0*([0-9a-fA-F]*)", 1)
+        return let(F.when(hexadecimal, number(digits, 6, 16)).otherwise(number(digits, 7, 10)), _character)
+
+    def by_name(s: Column) -> Column:
+        start = F.regexp_extract(s, f"^(?:{alternation})", 0)
+        whole = F.try_element_at(_table(named), s)
+        return F.coalesce(whole, let(start, lambda x: F.when(x != "", F.concat(F.try_element_at(_table(named), x), F.substring(s, F.length(x) + 1, F.length(s))))), F.concat(F.lit("&"), s))
+
+    return let(F.substring(found, 2, 1 << 20), lambda s: F.when(s.startswith("#"), numeric(s)).otherwise(by_name(s)))
+
+
+def unescape(c: Column) -> Column:
+    """HTML entities decoded, as the HTML standard says for texts; null stays null. Texts without an ampersand are returned at once."""
+
+    def decoded(x: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(x, F.lit(_ENTITY), F.lit(0)), _entity)
+        return F.array_join(F.zip_with(F.concat(F.array(F.lit("")), found), F.split(x, _ENTITY, -1), lambda a, b: F.concat(a, b)), "")
+
+    return let(c, lambda x: F.when(F.contains(x, F.lit("&")), decoded(x)).otherwise(x))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of value, with value worked out (and written into the plan) once however often body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -70,19 +132,24 @@ def squeeze(c: Column) -> Column:
     return F.btrim(F.regexp_replace(c, rf"(?U){SPACE}+", " "))
 
 
-def clean_text(c: Column, limit: int = EXCERPT) -> Column:
-    """NULs as spaces, white space squeezed, cut at limit, stripped."""
+def trimmed_text(c: Column, limit: int = EXCERPT) -> Column:
+    """NULs as spaces, white space squeezed, cut at limit, stripped: of texts whose entities are decoded, as rules get them."""
     return F.rtrim(F.substring(squeeze(F.translate(text_of(c), "\x00", " ")), 1, limit))
 
 
+def clean_text(c: Column, limit: int = EXCERPT) -> Column:
+    """trimmed_text with entities decoded: for texts as they come from outside."""
+    return trimmed_text(unescape(c), limit)
+
+
 def strip_markup(c: Column) -> Column:
     """Script and style elements, then all tags, as spaces."""
     return F.regexp_replace(F.regexp_replace(text_of(c), r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", " "), r"<[^>]+>", " ")
 
 
 def clean_description(c: Column, limit: int = EXCERPT) -> Column:
-    """Without CDATA marks, markup, links and what follows an advert's opening on the last line."""
-    t = F.replace(F.replace(text_of(c), F.lit("<![CDATA["), F.lit(" ")), F.lit("]]>"), F.lit(" "))
+    """Without CDATA marks, markup, links and what follows an advert's opening on the last line; entities are decoded before and after that."""
+    t = F.replace(F.replace(unescape(text_of(c)), F.lit("<![CDATA["), F.lit(" ")), F.lit("]]>"), F.lit(" "))
     t = F.regexp_replace(strip_markup(t), rf"(?iU)https?://[^\s\x1c-\x1f]+|www\.[^\s\x1c-\x1f]+", " ")
     return clean_text(F.regexp_replace(t, rf"(?id)(?:{ADVERT}).*$", " "), limit)
 
@@ -104,20 +171,20 @@ def format_bytes(c: Column) -> Column:
 
 def clean_title(c: Column) -> Column:
     """A title candidate: underscores as spaces, navigation words and a section number before it gone, edges stripped."""
-    t = F.regexp_replace(clean_text(c, 180), "_+", " ")
+    t = F.regexp_replace(trimmed_text(c, 180), "_+", " ")
     t = F.regexp_replace(t, rf"(?U)^(?:(?:{NAVIGATION})\s*[>＞:：|｜\\/\-]*\s*)+", "")
     t = F.regexp_replace(t, r"(?U)^第\s*\d+\s*节[:：]\s*", "")
     return F.btrim(t, F.lit(TITLE_EDGES))
 
 
 def clean_author(c: Column) -> Column:
-    t = F.replace(F.replace(clean_text(c, 180), F.lit("#91;"), F.lit("[")), F.lit("#93;"), F.lit("]"))
+    t = F.replace(F.replace(trimmed_text(c, 180), F.lit("#91;"), F.lit("[")), F.lit("#93;"), F.lit("]"))
     return F.btrim(F.regexp_replace(t, r"(?iU)^(作者|author)[:：]\s*", ""), F.lit(AUTHOR_EDGES))
 
 
 def clean_authors(c: Column) -> Column:
     """Without roles and bracketed parts."""
-    t = F.regexp_replace(clean_text(c, 180), r"(?U)(著者|作者|译者|编者|主编|校注|点校)\s*[:：]", "")
+    t = F.regexp_replace(trimmed_text(c, 180), r"(?U)(著者|作者|译者|编者|主编|校注|点校)\s*[:：]", "")
     t = F.regexp_replace(t, r"\[[^\]]+\]|【[^】]+】|（[^）]+）|\([^)]*\)", " ")
     return F.btrim(F.regexp_replace(t, rf"(?U){SPACE}+", " "), F.lit(" ;,，、/"))
 
@@ -181,9 +248,9 @@ def decode_link(c: Column) -> Column:
 def simple_description(title: Column, authors: Column, tags: Column, ext: Column) -> Column:
     """The placeholder made of title, up to three tags, authors and format."""
     useful = F.array_join(F.slice(F.filter(tags, lambda t: (t != "") & (t != "未分类")), 1, 3), "、")
-    named = F.coalesce(F.nullif(clean_text(title, 120), F.lit("")), F.lit("这本书"))
+    named = F.coalesce(F.nullif(trimmed_text(title, 120), F.lit("")), F.lit("这本书"))
     kind = let(useful, lambda u: F.when(u != "", F.concat(u, F.lit("类"))).otherwise("本地"))
-    by, form = clean_text(authors, 120), F.upper(F.regexp_replace(text_of(ext), r"^\.+", ""))
+    by, form = trimmed_text(authors, 120), F.upper(F.regexp_replace(text_of(ext), r"^\.+", ""))
     return F.concat(F.lit("《"), named, F.lit("》是一本"), kind, F.lit("电子书"), let(by, lambda b: F.when(b != "", F.concat(F.lit("，作者为 "), b)).otherwise("")), F.when(text_of(ext) != "", F.concat(F.lit("，本地文件格式为 "), form)).otherwise(""), F.lit("。"))
 
 

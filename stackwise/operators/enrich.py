@@ -49,11 +49,11 @@ def title_from_filename(filename: Column) -> Column:
     s = F.regexp_replace(t.text_of(filename), r"\.[A-Za-z0-9]{2,5}\z", "")
     s = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"\([^)]*\)", " "), r"\[[^\]]*\]", " "), "_+", " ")
     s = F.regexp_replace(s, r"(?Us)\s+[-—–－]\s+.*\z", "")
-    return F.coalesce(F.nullif(classify.lookup(s, classify.REMOTE_TITLES), F.lit("")), t.clean_text(s, 120))
+    return F.coalesce(F.nullif(classify.lookup(s, classify.REMOTE_TITLES), F.lit("")), t.trimmed_text(s, 120))
 
 
 def titles_from_description(description: Column) -> Column:
-    text = t.clean_text(description, 500)
+    text = t.trimmed_text(description, 500)
     quoted = F.transform(F.regexp_extract_all(text, F.lit("《([^》]{2,60})》"), F.lit(1)), t.strip)
     whole = (text != "") & (F.length(text) <= 40) & ~text.rlike("[。！？.!?，,；;]")
     return F.slice(F.concat(quoted, F.when(whole, F.array(text)).otherwise(F.expr(tags.NO_TAGS))), 1, 3)
@@ -61,17 +61,17 @@ def titles_from_description(description: Column) -> Column:
 
 def lookup_candidates(title: Column, filename: Column, description: Column) -> Column:
     """Titles to ask for: the title if good, titles in the description, the file name's, the title; at least one."""
-    own, named = t.clean_text(title, 120), title_from_filename(filename)
+    own, named = t.trimmed_text(title, 120), title_from_filename(filename)
     raw = F.concat(F.when(~classify.suspicious_title(title), F.array(own)).otherwise(F.expr(tags.NO_TAGS)), titles_from_description(description), F.array(named, own))
-    good = F.array_distinct(F.filter(F.transform(raw, lambda c: t.clean_text(c, 120)), lambda c: (c != "") & ~classify.suspicious_title(c)))
-    return F.when(F.size(good) > 0, good).otherwise(F.array(t.clean_text(F.coalesce(F.nullif(t.text_of(title), F.lit("")), filename), 120)))
+    good = F.array_distinct(F.filter(F.transform(raw, lambda c: t.trimmed_text(c, 120)), lambda c: (c != "") & ~classify.suspicious_title(c)))
+    return F.when(F.size(good) > 0, good).otherwise(F.array(t.trimmed_text(F.coalesce(F.nullif(t.text_of(title), F.lit("")), filename), 120)))
 
 
 def queries(title: Column, authors: Column) -> Column:
     """What to ask with a title: title and first author, then the title alone."""
     author = t.primary_author(authors)
     raw = F.array(F.when(author != "", F.concat(title, F.lit(" "), author)), title)
-    return F.array_distinct(F.filter(F.transform(F.filter(raw, lambda q: q.isNotNull()), lambda q: t.clean_text(q, 140)), lambda q: q != ""))
+    return F.array_distinct(F.filter(F.transform(F.filter(raw, lambda q: q.isNotNull()), lambda q: t.trimmed_text(q, 140)), lambda q: q != ""))
 
 
 def plain(c: Column) -> Column:
@@ -80,10 +80,7 @@ def plain(c: Column) -> Column:
 
 
 def parse_candidates(pages: DataFrame, html: str = "html") -> DataFrame:
-    """A row per result block of a page with a title or rating: pos (from 0) and title, rating, cast, summary, url; other columns stay.
-
-    Entities are as in the page: decode the fields with text.html_unescape where pages have them.
-    """
+    """A row per result block of a page with a title or rating: pos (from 0) and title, rating, cast, summary, url, entities decoded; other columns stay."""
     blocks = F.split(t.text_of(pages[html]), r'(?i)<div\s+class="result">')
     rest = [c for c in pages.columns if c != html]
     b = F.substring_index(F.col("block"), '<div class="result"', 1)
@@ -97,10 +94,10 @@ def parse_candidates(pages: DataFrame, html: str = "html") -> DataFrame:
     out = found.select(
         *rest,
         "pos",
-        t.strip(F.when(attribute != "", attribute).otherwise(heading)).alias("title"),
+        t.strip(t.unescape(F.when(attribute != "", attribute).otherwise(heading))).alias("title"),
         t.strip(first(r'(?i)<span\s+class="rating_nums">([0-9.]+)</span>')).alias("rating"),
-        plain(first(r'(?is)<span\s+class="subject-cast">(.*?)</span>')).alias("cast"),
-        plain(first(r"(?is)<p>(.*?)</p>")).alias("summary"),
+        t.strip(t.unescape(plain(first(r'(?is)<span\s+class="subject-cast">(.*?)</span>')))).alias("cast"),
+        t.strip(t.unescape(plain(first(r"(?is)<p>(.*?)</p>")))).alias("summary"),
         t.decode_link(link).alias("url"),
     )
     return out.where((F.col("title") != "") | (F.col("rating") != ""))

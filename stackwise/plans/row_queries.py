@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify
 from ..functions import text as t
-from ..operators import enrich, facets, jobs, merge, search
+from ..operators import claims, enrich, facets, jobs, merge, search
 from ..schema import evolve
 from ..sources import readers
 from . import repair, scan, views
@@ -45,6 +45,14 @@ def simple_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.parts(spark, sf_dir).select("id", t.simple_description(F.col("title"), F.expr("if(id % 3 = 0, '', authors)"), F.split("title", " "), F.col("ext")).alias("description"))
 
 
+@query("""SELECT p_partkey, p_name || ' < "' || p_brand || '" & ' || chr(8364) || chr(128512) || ' &nosuch; ¬it' AS cleaned, p_name || ' a < b ' || p_type AS described FROM part""")
+def entities_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts whose names and numbers of entities are decoded once, and descriptions, decoded twice, where what is markup after the first time goes."""
+    raw = F.concat("p_name", F.lit(" &lt; &quot;"), "p_brand", F.lit("&#34; &amp; &#x80;&#x1F600; &nosuch; &notit"))
+    twice = F.concat(F.lit("&lt;p class='x'&gt;"), "p_name", F.lit("&lt;/p&gt; a &amp;lt; b "), "p_type", F.lit(" &lt;br&gt;https&#58;//example.com/x"))
+    return table(spark, sf_dir, "part").select("p_partkey", t.clean_text(raw).alias("cleaned"), t.clean_description(twice).alias("described"))
+
+
 # ---------------------------------------------------------------- names
 
 
@@ -220,6 +228,16 @@ def defaults_added(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- jobs and lookups
 
 
+@query("""SELECT id, CASE WHEN id % 3 = 1 AND id % 2 = 0 THEN 'other' ELSE 'me' END AS owner, CAST(CASE WHEN id % 3 = 1 AND id % 2 = 0 THEN 200 ELSE 160 END AS DOUBLE) AS until FROM (SELECT p_partkey AS id FROM part)
+    UNION ALL SELECT p_partkey + 10000000, 'other', CAST(200 AS DOUBLE) FROM part WHERE p_partkey % 2 = 0""")
+def ids_leased(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts, asked for twice, where another owner holds some, held others until now, and holds ids that aren't asked for."""
+    ids = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    held = ids.where("id % 3 = 1").select("id", F.lit("other").alias("owner"), F.expr("if(id % 2 = 0, 200.0D, 100.0D)").alias("until"))
+    held = held.unionByName(ids.where("id % 2 = 0").select((F.col("id") + 10_000_000).alias("id"), F.lit("other").alias("owner"), F.lit(200.0).alias("until")))
+    return claims.lease(ids.unionByName(ids), held, "me", 100.0, 60.0)[1]
+
+
 @query(f"""SELECT id, array_to_string(list_transform(list(message ORDER BY seq), lambda m: substr(m, 1, 500))[-50:], '|') AS errors FROM (SELECT id, seq, repeat(status || seq || ' ', 100) AS message FROM ({JOB_LOG_SQL})) GROUP BY id""")
 def errors_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All updates of a job as its errors; a job of these tables has some hundreds at most."""

@@ -304,7 +304,7 @@ def _decoded(raws: pd.Series) -> pd.Series:
 
 def plain_text_fields(text: Column) -> Column:
     """struct(title, authors, description) of a plain text: the first of twelve lines that may be a title, an author's line after it."""
-    lines = F.transform(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: t.clean_title(F.regexp_replace(t.strip(x), r"(?U)^#+\s*", "")))
+    lines = F.transform(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: t.clean_title(t.unescape(F.regexp_replace(t.strip(x), r"(?U)^#+\s*", ""))))
     lines = F.filter(lines, lambda x: x != "")
     first = F.get(F.filter(F.slice(lines, 1, 12), classify.looks_like_title_line), F.lit(0))
     parts, second = classify.split_title_line(F.coalesce(first, F.lit(""))), F.coalesce(F.get(lines, F.lit(1)), F.lit(""))

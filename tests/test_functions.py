@@ -111,3 +111,36 @@ def test_keyword_boundaries(spark):
 
     got = column(spark, texts, lambda c: tags.keyword_hit(c, ("art", "law")))
     assert got == [spec(x, "art") or spec(x, "law") for x in texts]
+
+
+def test_unescape_equals_the_standard_library(spark):
+    import html
+    from html.entities import html5
+
+    rnd, names = random.Random(1), list(html5)
+    kinds = (
+        lambda: "&" + rnd.choice(names),
+        lambda: "&" + rnd.choice(names).rstrip(";") + rnd.choice(["x", ";", "", "=1", " "]),
+        lambda: f"&#{rnd.choice([rnd.randint(0, 300), rnd.randint(0, 0x120000), 10**9, 0xFDD0, 0xFFFE, 0x1FFFF, 0xD800])}{rnd.choice([';', '', 'x'])}",
+        lambda: f"&#{rnd.choice('xX')}{rnd.choice([rnd.randint(0, 300), rnd.randint(0, 0x120000), 10**12]):x}{rnd.choice([';', '', 'g'])}",
+        lambda: rnd.choice(["&", "&&", "&;", "&#;", "&#x;", "&#0065;", "&amp;lt;", "&notit;", "&notin;", "&ampamp;", "a", "é", "日", "\n", "$1", "\\"]),
+    )
+    texts = ["".join(rnd.choice(kinds)() for _ in range(rnd.randint(0, 8))) for _ in range(2000)] + [f"&#{n};" for n in range(300)] + ["&" + n for n in names] + ["&" + n.rstrip(";") + "zz" for n in names]
+    assert column(spark, texts, t.unescape) == [html.unescape(x) for x in texts]
+    assert column(spark, [None, "a &amp;amp; b"], t.clean_text) == ["", "a &amp; b"] and column(spark, [None], t.unescape) == [None]
+
+
+def test_keywords_of_random_texts(spark):
+    import re
+
+    rnd, words = random.Random(2), [k for ks in tags.KEYWORDS.values() for k in ks]
+    pieces = [*words, "历史记录", "出版史记录", "未来的历史", "x", "é", "ß", "日", "9", "-", " ", " ", "'", ".", "sci", "fi", "art", "s", "law"]
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 7))) for _ in range(1500)]
+
+    def hit(text: str, key: str) -> bool:
+        if re.fullmatch("[a-z0-9 +#.-]+", key):
+            return bool(re.search(f"(?<![a-z0-9]){re.escape(key)}(?![a-z0-9])", text))
+        return key in re.sub(tags.BLANKED[key], " ", text) if key in tags.BLANKED else key in text
+
+    expected = [[label for label, keys in tags.KEYWORDS.items() if any(hit(x.lower(), k) for k in keys)][:10] for x in texts]
+    assert column(spark, texts, tags.infer_tags) == expected
