@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import copies, enrich, facets, jobs, merge, operations, search
+from .operators import copies, enrich, facets, jobs, merge, operations, postings, search
 from .operators.backoff import Backoff
 from .plans import repair, scan
 from .schema import CATALOG
@@ -45,10 +45,10 @@ class Library:
     def __init__(self, spark: SparkSession, folder: str, backoff: Backoff | None = None):
         self.spark, self.folder, self.backoff = spark, folder.rstrip("/"), backoff
 
-    def versions(self) -> list[int]:
-        """Complete snapshots, oldest first."""
+    def versions(self, below: str = "") -> list[int]:
+        """Complete snapshots, oldest first; or those of a folder below."""
         jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.folder)
+        root = jvm.org.apache.hadoop.fs.Path(self.folder + below)
         fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(root):
             return []
@@ -59,7 +59,28 @@ class Library:
     def catalog(self) -> DataFrame:
         """The newest snapshot."""
         found = self.versions()
-        return self.spark.read.schema(CATALOG).parquet(f"{self.folder}/version={found[-1]:012d}") if found else scan.empty_catalog(self.spark)
+        return self.snapshot(found[-1]) if found else scan.empty_catalog(self.spark)
+
+    def snapshot(self, version: int) -> DataFrame:
+        return self.spark.read.schema(CATALOG).parquet(f"{self.folder}/version={version:012d}")
+
+    def postings(self, version: int | None = None) -> DataFrame | None:
+        """The search index of a version (the newest), if index() has made it."""
+        version = version if version is not None else (self.versions() or [0])[-1]
+        return self.spark.read.schema(postings.POSTINGS).parquet(f"{self.folder}/postings/version={version:012d}") if version in self.versions("/postings") else None
+
+    def index(self) -> str | None:
+        """Makes the newest version's search index, from that of an older one if there is one; its path, None if it is there."""
+        newest, made = (self.versions() or [0])[-1], self.versions("/postings")
+        if newest in made or not newest:
+            return None
+        catalog, older = self.catalog, [v for v in made if v in self.versions()]
+        if older:
+            changed = postings.changed_ids(self.snapshot(older[-1]), catalog)
+            rows = postings.update(self.postings(older[-1]), catalog, changed)
+        else:
+            rows = postings.build(catalog)
+        return scan.publish(rows.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block"), f"{self.folder}/postings", newest)
 
     @property
     def book_tags(self) -> DataFrame:
@@ -72,8 +93,10 @@ class Library:
     # reading
 
     def search(self, spec: search.SearchSpec = search.SearchSpec(), page: int = 1, page_size: int = search.PAGE) -> tuple[int, DataFrame]:
-        """(number of matches, a page as shown); the page's tags are joined for its rows only."""
-        catalog, bridge = self.catalog, self.book_tags
+        """(number of matches, a page as shown); the page's tags are joined for its rows only. The search index is used if there is one."""
+        catalog, bridge, index = self.catalog, self.book_tags, self.postings()
+        if index is not None:
+            catalog = postings.narrowed(catalog, index, spec.query)
         rows = search.search(catalog, bridge, spec, page, page_size)
         mine = bridge.join(F.broadcast(rows.select(F.col("id").alias("book_id"))), "book_id", "left_semi")  # a page has 200 rows at most
         return search.total(catalog, bridge, spec), search.display(rows, mine).orderBy(*search.ordering(spec))

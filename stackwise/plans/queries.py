@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, tags
 from ..functions import text as t
-from ..operators import copies, enrich, facets, jobs, merge, operations, search
+from ..operators import copies, enrich, facets, jobs, merge, operations, postings, search
 from ..operators.search import SearchSpec
 from . import repair, views
 from .views import DOCS_SQL, JOB_LOG_SQL, LOOKUPS_SQL, PART_TAGS_SQL, PARTS_SQL, table
@@ -74,6 +74,14 @@ def search_multiword_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(views.parts(spark, sf_dir), None, SearchSpec("cold widget", status="all", sort="size", order="asc"), page=2, page_size=20).select("id", "title", "size", "rank")
 
 
+@query(f"SELECT id, title FROM ({PARTS_SQL}) WHERE {match_sql(['old', 'wid', 'et'])}")
+def search_by_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of words, one of them too short to narrow the search, by the postings of all parts."""
+    parts = views.parts(spark, sf_dir)
+    found = postings.narrowed(parts, postings.build(parts), "old WID et")
+    return search.filtered(found, None, SearchSpec("old WID et", status="all")).select("id", "title")
+
+
 @query(f"SELECT count(*) AS matches FROM ({PARTS_SQL}) WHERE status = 'active' AND {match_sql(['cold'])}")
 def search_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.filtered(views.parts(spark, sf_dir), None, SearchSpec("cold")).agg(F.count("*").alias("matches"))
