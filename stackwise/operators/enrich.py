@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +17,8 @@ SOURCE = "豆瓣"
 VERSION = 2
 RETRY_SECONDS = 24 * 3600
 STREAK, PAUSE_SECONDS = 8, 6 * 3600
+#: Ranges of time that a long log is counted by.
+RANGES = 256
 TITLE_POINTS, AUTHOR_POINTS = 80, 35
 
 
@@ -171,14 +175,44 @@ def lookup_result(books: DataFrame, matched: DataFrame, fetched: DataFrame | Non
     )
 
 
+def islands(log: DataFrame, partition: str | None = None, order: Sequence[str] = ("at",)) -> DataFrame:
+    """A log (``failed``) with ``island``, the successes so far: failures between two successes are one island."""
+    rows = Window.partitionBy(*([partition] if partition else [])).orderBy(*order)
+    return log.withColumn("island", F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(rows.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def streaks(log: DataFrame, partition: str) -> DataFrame:
+    """The failures of a log (at, failed) with ``streak``, how many in a row each is; ``partition`` separates independent lookups."""
+    n = F.row_number().over(Window.partitionBy(partition, "island").orderBy("at"))
+    return islands(log, partition).where("failed").withColumn("streak", n.cast("long"))
+
+
+def streaks_of_one(log: DataFrame, ranges: int = RANGES) -> DataFrame:
+    """streaks of one log without a partition: by ranges of time, and what each range hands on to the next.
+
+    A range's streaks are counted by themselves; those before its first success go on from the ranges before. Of each range
+    its rows, successes and failures after the last success are gathered, so no task and not the driver gets all rows.
+    Failures at the same time count in any order.
+    """
+    bounds = sorted(set(log.approxQuantile("at", [i / ranges for i in range(1, ranges)], 0.1 / ranges))) if ranges > 1 else []
+    number = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b <= F.col("at")))
+    rows = islands(log.withColumn("range", number), "range").withColumn("place", F.row_number().over(Window.partitionBy("range").orderBy("at")))
+    last = F.coalesce(F.max(F.when(~F.col("failed"), F.col("place"))), F.lit(0))
+    carries, carry = {}, 0
+    for r in rows.groupBy("range").agg(F.count("*").alias("n"), last.alias("last")).orderBy("range").collect():  # a row a range
+        carries[r["range"]] = carry
+        carry = (0 if r["last"] else carry) + r["n"] - r["last"]
+    known = log.sparkSession.createDataFrame(list(carries.items()), "range int, carry long")
+    n = F.row_number().over(Window.partitionBy("range", "island").orderBy("at"))
+    out = rows.where("failed").withColumn("streak", n.cast("long")).join(F.broadcast(known), "range")
+    return out.withColumn("streak", F.col("streak") + F.when(F.col("island") == 0, F.col("carry")).otherwise(0)).drop("range", "place", "carry", "island")
+
+
 def failure_pauses(log: DataFrame, partition: str | None = None) -> DataFrame:
     """From a log (at, failed): each STREAK-th consecutive failure and until when lookups pause after it; a success ends a streak.
 
-    Gaps and islands: failures between two successes are one island. ``partition`` separates independent lookups; without
-    one the log is that of one lookup at a time, about a row per second at most.
+    ``partition`` separates independent lookups; without one all rows are one log, however long.
     """
+    found = streaks(log, partition) if partition else streaks_of_one(log)
     keys = [partition] if partition else []
-    order = Window.partitionBy(*keys).orderBy("at")
-    runs = log.withColumn("island", F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    n = F.row_number().over(Window.partitionBy(*keys, "island").orderBy("at"))
-    return runs.where("failed").withColumn("streak", n).where(F.col("streak") % STREAK == 0).select(*keys, "at", "streak", (F.col("at") + PAUSE_SECONDS).alias("paused_until"))
+    return found.where(F.col("streak") % STREAK == 0).select(*keys, "at", F.col("streak").cast("int").alias("streak"), (F.col("at") + PAUSE_SECONDS).alias("paused_until"))

@@ -512,11 +512,8 @@ _ISLANDS_SQL = f"""WITH log AS (SELECT id, seq, "at", status = 'failed' AS faile
 @query(f"{_ISLANDS_SQL} SELECT id, island, CAST(count(*) AS BIGINT) AS streak FROM runs WHERE failed GROUP BY id, island HAVING count(*) >= 2")
 def failure_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consecutive failures of each job: the islands that back-off counts."""
-    from pyspark.sql.window import Window
-
     log = views.job_log(spark, sf_dir).select("id", "seq", "at", (F.col("status") == "failed").alias("failed"))
-    runs = log.withColumn("island", F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(Window.partitionBy("id").orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.where("failed").groupBy("id", "island").agg(F.count("*").alias("streak")).where("streak >= 2")
+    return enrich.islands(log, "id", ("at", "seq")).where("failed").groupBy("id", "island").agg(F.count("*").alias("streak")).where("streak >= 2")
 
 
 # ---------------------------------------------------------------- jobs

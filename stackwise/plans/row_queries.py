@@ -255,3 +255,11 @@ def lookup_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.failure_pauses(log, "id")
 
 
+@query(f"""WITH log AS (SELECT "at", count_if(status = 'queued') < 2 AS failed FROM ({JOB_LOG_SQL}) GROUP BY "at"),
+    runs AS (SELECT "at", failed, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (ORDER BY "at" ROWS UNBOUNDED PRECEDING) AS island FROM log),
+    numbered AS (SELECT "at", row_number() OVER (PARTITION BY island ORDER BY "at") AS streak FROM runs WHERE failed)
+    SELECT "at", CAST(streak AS INTEGER) AS streak, "at" + 21600 AS paused_until FROM numbered WHERE streak % 8 = 0""")
+def lookup_pauses_of_one_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Back-off of one lookup at a time: the whole log, whose few successes are times of two sign-ups or more."""
+    log = views.job_log(spark, sf_dir).groupBy("at").agg((F.count_if(F.col("status") == "queued") < 2).alias("failed"))
+    return enrich.failure_pauses(log)
