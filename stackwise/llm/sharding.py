@@ -63,7 +63,11 @@ def assign_shards(df: DataFrame, key: str, shards: list[str] | int = SHARDS, slo
 
 
 def write_shards(df: DataFrame, key: str, path: str, shards: list[str] | int = SHARDS, slots: int = SLOTS, files_per_shard: int = 8) -> None:
-    """Writes df as Parquet, a folder for each shard; a shard's rows go over several tasks, so a large shard isn't one task."""
+    """Writes df as Parquet, a folder for each shard; a shard's rows go over several tasks by what their columns hold, so a large shard isn't one task.
+
+    Columns that Spark can't hash, maps and variants, don't count for that.
+    """
     out = assign_shards(df, key, shards, slots)
     n = shards if isinstance(shards, int) else len(shards)
-    out.repartition(n * files_per_shard, "shard", F.pmod(F.xxhash64(*df.columns), F.lit(files_per_shard))).write.partitionBy("shard").parquet(path)
+    hashed = [out[f.name] for f in out.schema.fields if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]
+    out.repartition(n * files_per_shard, "shard", F.pmod(F.xxhash64(*hashed), F.lit(files_per_shard))).write.partitionBy("shard").parquet(path)
