@@ -385,6 +385,13 @@ def test_sketches_estimate_and_merge():
 # ---------------------------------------------------------------- 7 sharding
 
 
+def test_shards_of_rows_with_maps(spark, tmp_path):
+    rows = spark.range(50).select(F.col("id").alias("doc_id"), F.create_map(F.lit("k"), "id").alias("m"), F.array(F.create_map("id", F.lit(1))).alias("deep"))
+    sharding.write_shards(rows, "doc_id", str(tmp_path / "out"), shards=4)
+    assert spark.read.parquet(str(tmp_path / "out")).select("doc_id").distinct().count() == 50
+    sharding.write_shards(rows.select(F.col("m").alias("doc")).withColumn("k", F.lit("x")).drop("k").withColumn("id", F.lit(1)), "id", str(tmp_path / "two"), shards=2)
+
+
 def test_lookup_table():
     names = [f"n{i}" for i in range(7)]
     table = sharding.lookup_table(names, 1009)
@@ -571,6 +578,19 @@ def test_mixing(spark, docs, none):
     assert mixing.in_mixed_order(docs).columns == docs.columns and mixing.in_mixed_order(none).count() == 0
 
 
+def test_empty_weights_are_none(docs):
+    assert sorted(map(tuple, mixing.mix_sources(docs, {}).collect()), key=repr) == sorted(map(tuple, mixing.mix_sources(docs).collect()), key=repr)
+
+
+def test_large_tables_have_larger_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS", 20)
+    rows = mixing.mix_sources(spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("if(id % 3 = 0, 'a', 'b')").alias("source")), {"a": 1, "b": 1}).collect()
+    assert sorted(r["position"] for r in rows) == list(range(3000)) and max(collections.Counter((r["source"], r["block"]) for r in rows).values()) == 150
+    first = [r["source"] for r in sorted(rows, key=lambda r: r["position"])][:1800]
+    for end in range(1, 1801):
+        assert abs(first[:end].count("a") - end / 2) < 150  # while both have documents
+
+
 def test_schedule_keeps_exact_shares_for_any_weights():
     blocks = {"big": 30_000, "half": 9_000, "rare": 40, "one": 1} | {f"s{i:04d}": i % 3 + 1 for i in range(1500)}
     weights = {s: n**0.5 for s, n in blocks.items()} | {"big": 1.0 / 3, "half": 0.1234567, "rare": 0.00001}
