@@ -9,7 +9,7 @@ import os
 import duckdb
 import pytest
 
-from stackwise.plans import file_queries, row_queries  # noqa: F401  register their queries
+from stackwise.plans import file_queries, request_queries, row_queries  # noqa: F401  register their queries
 from stackwise.plans.queries import ORACLE, QUERIES
 
 DIR = "/root/testdata/sf0.001"
