@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import time
@@ -11,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import copies, enrich, facets, jobs, merge, operations, postings, search
+from .operators import copies, enrich, facets, jobs, merge, operations, paging, postings, search
 from .operators.backoff import Backoff
 from .plans import repair, scan
 from .schema import CATALOG
@@ -101,6 +102,25 @@ class Library:
         mine = bridge.join(F.broadcast(rows.select(F.col("id").alias("book_id"))), "book_id", "left_semi")  # a page has 200 rows at most
         return search.total(catalog, bridge, spec), search.display(rows, mine).orderBy(*search.ordering(spec))
 
+    def _order(self, spec: search.SearchSpec) -> str:
+        """The folder of an order of the newest version."""
+        name = hashlib.sha256(json.dumps([spec.query, search.wanted_tags(spec.tags), spec.format, spec.status, spec.sort, spec.order]).encode()).hexdigest()[:32]
+        return f"{self.folder}/orders/version={(self.versions() or [0])[-1]:012d}/{name}"
+
+    def _is_there(self, folder: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/ranges/_SUCCESS")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def keep_order(self, spec: search.SearchSpec) -> int | None:
+        """Keeps the newest version's order for page(); returns its rows, None if it is kept."""
+        folder = self._order(spec)
+        return None if self._is_there(folder) else paging.build(paging.ordered(self.catalog, self.book_tags, spec), folder)
+
+    def page(self, spec: search.SearchSpec, page: int = 1, page_size: int = paging.PAGE) -> DataFrame | None:
+        """A page of a kept order, however far down, from the file or two that it lies in; None if the order isn't kept."""
+        folder = self._order(spec)
+        return paging.page_rows(self.catalog, folder, page, page_size) if self._is_there(folder) else None
+
     def tags(self) -> DataFrame:
         return facets.tag_facet(self.catalog, self.book_tags)
 

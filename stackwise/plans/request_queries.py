@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify
 from ..library import as_json
-from ..operators import enrich, facets, merge, operations, search
+from ..operators import enrich, facets, merge, operations, paging, search
 from ..schema import CATALOG, EXTRACTED, evolve
 from ..sources import readers
 from . import repair, scan, views
@@ -120,6 +120,14 @@ def frozen_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("position", "book_id", "path", "size", "title", "status", F.lit(batch["item_count"]).cast("long").alias("item_count"), F.lit(batch["confirm_phrase"]).alias("phrase"))
 
 
+@query(f"""SELECT row_number() OVER (ORDER BY lower(title), id DESC) - 1 AS pos, id, title FROM ({PARTS_SQL}) QUALIFY pos >= 60 AND pos < 120""")
+def page_of_a_kept_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of all parts by title, from the kept order's files."""
+    rows, root = views.parts(spark, sf_dir), folder(spark, "order")
+    paging.build(paging.ordered(rows, None, search.SearchSpec(status="all", sort="title", order="asc")), root, 50)
+    return paging.page_rows(rows, root, 2, 60).select("pos", "id", "title")
+
+
 @query(f"""SELECT 'newest' AS kind, id, title || ' 2' AS title FROM ({PARTS_SQL}) UNION ALL SELECT 'backup', id, title FROM ({PARTS_SQL})""")
 def snapshots_and_backups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two snapshots of the parts, and a day's backup, which the second copy of the day doesn't change."""
