@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, ragged, spread, text_column
+from .common import BATCH_BYTES, materialise, ragged, releasing, spread, text_column
 from .packing import _byte_of
 
-#: A chunk ends at so many units or documents. Distinct units that a worker remembers, and their characters; then it starts anew.
-CHUNK_UNITS, CHUNK_DOCS, DISTINCT, DISTINCT_CHARS = 1 << 22, 1 << 16, 250_000, 1 << 24
+#: A chunk ends at so many units or documents: some 2 MB. Distinct units that a task remembers, and their characters; then it starts anew.
+CHUNK_UNITS, CHUNK_DOCS, DISTINCT, DISTINCT_CHARS = 1 << 18, 1 << 14, 250_000, 1 << 24
 #: Characters of texts that are encoded at once.
 SLICE = 1 << 20
 _CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -249,8 +249,9 @@ def cut_chunks(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, key: str = "
                     known.clear()
         if chunk.docs:
             yield chunk.row(part, known)
+        known.clear()  # the worker stays for later stages
 
-    return spread(docs.select(docs[key].cast("long").alias("doc_id"), text_column(docs, text).alias("text"))).mapInArrow(run, CHUNK)
+    return spread(docs.select(docs[key].cast("long").alias("doc_id"), text_column(docs, text).alias("text"))).mapInArrow(releasing(run), CHUNK)
 
 
 def pair_counts(chunks: DataFrame) -> DataFrame:
@@ -294,11 +295,13 @@ def align(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, key: str = "doc_i
     Returns doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256: as contracted, one row per document.
     Null and empty texts, and texts whose bytes B doesn't keep (those holding U+2581), have no tokens: zeros and an empty
     digest. Repeated rows and ids are documents of their own. An empty table gives an empty result.
+    Memory is bounded by chunks and batches of them, however many chunks a task or partition has.
     """
-    chunks = materialise(cut_chunks(docs, tokenizer_a, tokenizer_b, key, text), "alignment")
+    chunks = materialise(cut_chunks(docs, tokenizer_a, tokenizer_b, key, text), "alignment", group=BATCH_BYTES)
     own = chunks.select("part", F.posexplode("pair").alias("pos", "pair"))
     found = own.join(pair_counts(chunks), "pair").groupBy("part").agg(F.sort_array(F.collect_list(F.struct("pos", "count", "best"))).alias("found"))
-    return chunks.drop("pair", "n").join(found, "part", "left").mapInArrow(_with_counts, RESULT)
+    # written here, for Python gets a partition's chunks in batches of bounded size only while materialise holds that bound
+    return materialise(chunks.drop("pair", "n").join(found, "part", "left").mapInArrow(releasing(_with_counts), RESULT), "aligned")
 
 
 def groups(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, key: str = "doc_id", text: str = "text") -> DataFrame:

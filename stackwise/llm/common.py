@@ -37,17 +37,20 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str, batch: int | None = BATCH_BYTES) -> DataFrame:
+def materialise(df: DataFrame, name: str, batch: int | None = BATCH_BYTES, group: int | None = None) -> DataFrame:
     """Writes df once to the shared folder and reads it back: cuts lineage, survives lost executors.
 
     Rows go to Python in batches of ``batch`` bytes meanwhile (null: the session's own bound); that bound is put back.
+    ``group``: bytes of a row group, for rows of megabytes: a task writes, and a reader decodes, a group at a time. By itself
+    Parquet looks at the size only after 100 rows.
     """
     spark, bound = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
     path = f"{scratch_dir(spark)}/stackwise/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(bound)
     spark.conf.set(bound, str(batch or before))
+    groups = {"parquet.block.size": str(group), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"} if group else {}
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(compression="zstd", **groups).parquet(path)
     finally:
         spark.conf.set(bound, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,10 +11,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from stackwise.llm import alignment, queries, ranking, word_bpe
+from stackwise.llm import alignment, common, queries, ranking, word_bpe
 
 DIR = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string"
@@ -158,6 +160,39 @@ def test_alignment_of_no_rows(spark):
     assert alignment.align(spark.createDataFrame([(1, None), (2, "")], DOCS), A, B).collect()[0][1:] == (0, 0, 0, 0, 0, 0, "")
 
 
+def test_alignment_memory_is_bounded_by_chunks(spark, monkeypatch, tmp_path):
+    """Chunks of one partition reach Python in several batches, and a table of few large rows has several row groups."""
+    n, first = 1 << 20, alignment.CHUNK.split(", ")
+
+    def made(batches):
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                row = [k, [k], [n], [n], [n], [n], ["x"], [n], bytes(4 * n), (1).to_bytes(4, "little"), bytes(4), [7], [n]]
+                yield pa.RecordBatch.from_pylist([dict(zip((c.split()[0] for c in first), row, strict=True))], schema=batch_schema)
+
+    def checked(batches, rows=alignment._with_counts):
+        for batch in batches:
+            assert batch.nbytes < 20 << 20, "a partition's chunks are one batch"
+            yield from rows(iter([batch]))
+
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
+    batch_schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in first])
+    monkeypatch.setattr(alignment, "cut_chunks", lambda *_: spark.range(0, 8, 1, 1).mapInArrow(made, alignment.CHUNK))
+    monkeypatch.setattr(alignment, "_with_counts", checked)
+    rows = alignment.align(None, A, B).collect()
+    assert sorted(map(tuple, rows)) == [(k, n, n, n, n, n, 8 * n * n, "x") for k in range(8)]
+    large = common.materialise(spark.range(0, 12, 1, 1).selectExpr("id", "repeat(sha2(string(id), 256), 2000) as x"), "large", group=1 << 16)
+    files = [f.removeprefix("file://") for f in large.inputFiles()]
+    assert sum(pq.ParquetFile(f).num_row_groups for f in files) == 12 and large.count() == 12
+    assert 4 * alignment.CHUNK_UNITS <= common.BATCH_BYTES // 4
+
+
+def test_alignment_forgets_units_when_a_task_ends(spark, docs):
+    alignment.cut_chunks(docs, A, B).count()
+    left = spark.range(0, 64, 1, 8).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([sum(len(u.texts) for u in alignment._units.values())])], names=["n"]) for _ in batches), "n long")
+    assert left.agg(F.sum("n")).first()[0] == 0
+
+
 @tables
 def test_alignment_of_the_test_table(spark, pair_of_tokenizers):
     docs = queries.table(spark, DIR, "documents").where(F.length("text") < 4000)
