@@ -27,7 +27,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order in which their sources reach the target weights."""
-    return mixing.in_mixed_order(docs)
+    return mixing.in_mixed_order(docs, block=mixing.BLOCK)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,7 +61,7 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), block=mixing.BLOCK)
 
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -591,6 +591,20 @@ def test_large_tables_have_larger_blocks(spark, monkeypatch):
         assert abs(first[:end].count("a") - end / 2) < 150  # while both have documents
 
 
+def test_a_given_block_holds_at_any_size(spark, monkeypatch):
+    """Neither the bound on blocks nor how many slots the driver holds changes a row."""
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("if(id % 10 = 0, 'a', if(id % 7 = 0, 'b', 'c'))").alias("source"))
+    weights = {"a": 0.001, "b": 2, "c": 3.3}
+    once = sorted(map(tuple, mixing.mix_sources(df, weights, block=2).collect()))
+    for name, value in (("BLOCKS", 20), ("HELD_SLOTS", 150), ("CHUNK", 64)):
+        monkeypatch.setattr(mixing, name, value, raising=False)
+    assert sorted(map(tuple, mixing.mix_sources(df, weights, block=2).collect())) == once
+    assert max(collections.Counter((s, b) for _, s, b, *_ in once).values()) == 2
+    monkeypatch.setattr(queries, "table", lambda *_: df)
+    rows = queries.op10_mixing(spark, DIR).collect()
+    assert max(collections.Counter((r["source"], r["block"]) for r in rows).values()) == mixing.BLOCK
+
+
 def test_schedule_keeps_exact_shares_for_any_weights():
     blocks = {"big": 30_000, "half": 9_000, "rare": 40, "one": 1} | {f"s{i:04d}": i % 3 + 1 for i in range(1500)}
     weights = {s: n**0.5 for s, n in blocks.items()} | {"big": 1.0 / 3, "half": 0.1234567, "rare": 0.00001}
