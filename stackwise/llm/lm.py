@@ -35,7 +35,7 @@ NOISE, WORD_NOISE, DRAWS = 64, 32, 1024
 BATCH, ROUND, RATE, START, PASSES = 4096, 4, 0.05, 1e-3, 2
 TABLE = 400_000
 #: Places that are scored by one matrix product.
-SCORED = 512
+SCORED = 256
 FOLDS, FOLD = 5, 1
 #: Characters of texts, and tokens, that are worked on together; a text counts for ROW of either at least.
 TOGETHER, TOKENS, ROW = 1_000_000, 200_000, 64
@@ -332,14 +332,14 @@ class Trainer:
             r += p[1][j - 1] * np.take(p[0], part[places - j], axis=0)
         drawn = self.draws[classes[:, None], ((np.arange(WORD_NOISE) + self.rng.random((len(classes), WORD_NOISE))) * (DRAWS / WORD_NOISE)).astype(np.int64)]
         bias = p[5] - self.word_shift
-        own, noise = np.take(p[4], word, axis=0), p[4][drawn]
+        own, noise = np.take(p[4], word, axis=0), np.take(p[4], drawn, axis=0)
         up = _logistic(np.einsum("ij,ij->i", r, own) + bias[word]) - 1
         own *= up[:, None]
         down = np.empty((len(word), WORD_NOISE), dtype=np.float32)
         runs = list(zip(edges[:-1].tolist(), edges[1:].tolist(), noise, strict=True))
-        for a, b, q in runs:
+        for (a, b, q), x in zip(runs, bias[drawn], strict=True):
             np.matmul(r[a:b], q.T, out=down[a:b])
-        down += np.repeat(bias[drawn], np.diff(edges), axis=0)
+            down[a:b] += x
         down = _logistic(down)
         noisy = np.empty_like(noise)
         for c, (a, b, q) in enumerate(runs):
@@ -354,7 +354,7 @@ class Trainer:
 
     def _step(self, k: int, rows: np.ndarray, d: np.ndarray) -> None:
         """An Adagrad step of some rows of the k-th parameter, each with one rate."""
-        s = self.squares[k][rows] + (np.einsum("ij,ij->i", d, d) / DIMENSIONS if d.ndim > 1 else d * d)
+        s = np.take(self.squares[k], rows) + (np.einsum("ij,ij->i", d, d) / DIMENSIONS if d.ndim > 1 else d * d)
         self.squares[k][rows] = s
         rate = RATE / np.sqrt(s)
         self.p[k][rows] = np.take(self.p[k], rows, axis=0) - (d * rate[:, None] if d.ndim > 1 else d * rate)
@@ -363,24 +363,20 @@ class Trainer:
 def log_probabilities(p: list[np.ndarray], words: Vocabulary, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Normalised natural log-probabilities of all symbols: the upper level, and for words their class's level, too.
 
-    A block of places is one matrix product, exponentials in place and one more product for the sums. Places of a class's
-    words are worked on together, for they share its matrix.
+    Places of a class's words are worked on together, for they share its matrix.
     """
     padded = _contexts(symbols, at, words.symbols)
     upper, fixed = words.upper[symbols], HEAD + ENDINGS
-    out, r = np.empty(len(symbols)), np.empty((len(symbols), DIMENSIONS), dtype=np.float32)
-    done = 0
-    for a in range(0, len(padded), SCORED):
+    r, done = np.empty((len(symbols), DIMENSIONS), dtype=np.float32), 0
+    for a in range(0, len(padded), BATCH):
         lead = min(a, CONTEXT)
-        part = padded[a - lead : a + SCORED]
+        part = padded[a - lead : a + BATCH]
         block = predicted(p, np.take(p[0], part, axis=0))[lead:]
         if (part[lead:] == words.symbols).any():
             block = block[part[lead:] < words.symbols]
-        end = done + len(block)
-        r[done:end] = block
-        if len(block):
-            out[done:end] = normalised(block, p[2], p[3], upper[done:end])
-        done = end
+        r[done : done + len(block)] = block
+        done += len(block)
+    out = normalised(r, p[2], p[3], upper)
     places = np.flatnonzero(symbols >= fixed)
     if len(places):
         places = places[np.argsort(symbols[places].astype(np.uint16), kind="stable")]
@@ -393,17 +389,24 @@ def log_probabilities(p: list[np.ndarray], words: Vocabulary, symbols: np.ndarra
 
 
 def normalised(r: np.ndarray, q: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log-probabilities of the targets among all rows of q. Only where a product could overflow are the greatest ones taken off first."""
-    out, weights = np.empty(len(r)), np.exp(bias - bias.max())
+    """Log-probabilities of the targets among all rows of q. Only where a product could overflow are the greatest ones taken off first.
+
+    A block of places is one matrix product, exponentials in place and one more product for the sums. Where the vectors'
+    lengths bound all products, no block is searched for large ones.
+    """
+    out, bias = np.empty(len(r)), bias - bias.max()
+    weights, own_bias, columns = np.exp(bias), bias[target].astype(np.float64), np.ascontiguousarray(q.T)
+    small = len(r) > 0 and np.einsum("ij,ij->i", r, r).max() * np.einsum("ij,ij->i", q, q).max() < 59**2
     for a in range(0, len(r), SCORED):
-        scores, top = r[a : a + SCORED] @ q.T, 0.0
-        if scores.max() > 60 or scores.min() < -60:
-            scores += bias - bias.max()
+        scores = r[a : a + SCORED] @ columns
+        own = np.arange(len(scores)), target[a : a + SCORED]
+        if not small and (scores.max() > 60 or scores.min() < -60):
+            scores += bias
             top = scores.max(axis=1)
             scores -= top[:, None]
-            own, sums = scores[np.arange(len(scores)), target[a : a + SCORED]].astype(np.float64), np.exp(scores).sum(axis=1, dtype=np.float64)
+            own, sums = scores[own].astype(np.float64), np.exp(scores).sum(axis=1, dtype=np.float64)
         else:
-            own = scores[np.arange(len(scores)), target[a : a + SCORED]] + (bias[target[a : a + SCORED]] - bias.max()).astype(np.float64)
+            own = scores[own] + own_bias[a : a + SCORED]
             sums = (np.exp(scores, out=scores) @ weights).astype(np.float64)
         out[a : a + SCORED] = own - np.log(sums)
     return out

@@ -307,6 +307,23 @@ def test_lm_is_normalised(vocabulary):
         assert got[i] == pytest.approx(want, abs=1e-3)
 
 
+def test_scoring_normalises_a_level_at_once(spark, monkeypatch):
+    """The upper level's weights are made once for all places, and no block is searched for large products that vectors' lengths exclude."""
+    calls, real = [], lm.normalised
+    monkeypatch.setattr(lm, "normalised", lambda r, *a: calls.append(len(r)) or real(r, *a))
+    v = lm.Vocabulary(spark.createDataFrame([(i << 6, 100 - i) for i in range(60)], "token long, n long"))
+    symbols = np.arange(9000, dtype=np.int64) % 60
+    got = lm.log_probabilities(lm.start(v), v, symbols, np.array([0, 4000, 9000]))
+    assert calls == [9000]
+    rng = np.random.default_rng(5)
+    for scale in (0.3, 30):
+        r, q, bias = (rng.normal(0, scale, n).astype(np.float32) for n in ((700, 24), (90, 24), 90))
+        scores = r.astype(np.float64) @ q.T.astype(np.float64) + bias
+        want = scores[np.arange(700), np.arange(700) % 90] - np.logaddexp.reduce(scores, axis=1)
+        assert np.allclose(real(r, q, bias, np.arange(700) % 90), want, rtol=1e-4, atol=1e-3)
+    assert len(got) == 9000 and (got < 0).all()
+
+
 def test_lm_tables(vocabulary):
     v, rng = vocabulary, np.random.default_rng(2)
     draws, share = v.draws()
